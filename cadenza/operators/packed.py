@@ -18,7 +18,7 @@ DELIMITERS = ",;/|\\\\\n\r\t·•"
 #: Stripped from the ends of every piece, along with blanks.
 WRAPPERS = "\"“”„«»\\[\\]"
 #: Open and close a placeholder. Either character found in the data is itself taken out as a span, so none collides.
-OPEN, CLOSE = "", ""
+OPEN, CLOSE = "\ue000", "\ue001"
 
 
 def _java_quote(name: str) -> str:

@@ -112,7 +112,7 @@ def value_reason(cells: Column, required: list[int], checked: list[int]) -> Colu
     """Whether a blank in a required cell or a bad character in a checked one spoils the record."""
     spoilt = F.lit(False)
     for i in required:
-        spoilt = spoilt | (F.regexp_replace(cells[i], r"[\s\p{Z}﻿]+", "") == "")
+        spoilt = spoilt | (F.regexp_replace(cells[i], r"[\s\p{Z}\x{FEFF}]+", "") == "")
     for i in checked:
         spoilt = spoilt | cells[i].rlike(BAD_CHARACTER)
     return spoilt
