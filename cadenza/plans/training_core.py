@@ -13,6 +13,10 @@ from cadenza.sources.delimited import loaded, parse_lines, rejected
 CELLS = ["band", "title", "genre", "note"]
 
 
+#: Written with a delimiter, yet one value.
+SINGLE_VALUES = ["n/a"]
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> list[str]:
     """The names of the reference list: a fixed table of about a hundred rows."""
     return [r[0] for r in table(spark, sf_dir, "genre_vocabulary").select("genre").where("genre is not null").collect()]
@@ -55,7 +59,7 @@ def p6_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_genres(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
-    names = vocabulary(spark, sf_dir)
+    names = [*vocabulary(spark, sf_dir), *SINGLE_VALUES]
     info = explode_packed(table(spark, sf_dir, "song_info").select("info_id", "genres").distinct(), "genres", names, keep=["info_id"], least=least)
     fixes = explode_packed(table(spark, sf_dir, "genre_song_fixes").select("fix_id", "genre").distinct(), "genre", names, keep=["fix_id"], least=least)
     return info.select(F.lit("song_info").alias("tbl"), F.col("info_id").alias("rec_id"), "pos", "piece").unionByName(
