@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.llm.canonical import GENRE_ALIASES, map_to_reference
 from cadenza.llm.encodings import clean_bigrams, restore
+from cadenza.operators.packed import bare
+from cadenza.plans.training_core import packed_genres
 from cadenza.session import table
 
 
@@ -31,5 +34,24 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored_values(spark, sf_dir).where("garbled").select("field", "song_id", "value", "restored")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored}
+def typed_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single genre values as typed: packed fields taken apart, the media's value whole."""
+    packed = packed_genres(spark, sf_dir, 1).select(F.col("piece").alias("typed"))
+    return packed.unionByName(table(spark, sf_dir, "media_info").select(bare(F.col("genre")).alias("typed")))
+
+
+def mapped_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_to_reference(typed_genres(spark, sf_dir), "typed", table(spark, sf_dir, "genre_vocabulary"), "genre_id", "genre", aliases=GENRE_ALIASES)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapped_genres(spark, sf_dir).select("typed", F.col("ref_id").alias("genre_id"))
+
+
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values without an entry and how often each was typed."""
+    return mapped_genres(spark, sf_dir).where("ref_id = 0").select("typed", "n")
+
+
+QUERIES = {"p4_found": p4_found, "p4_unmatched": p4_unmatched, "p1_found": p1_found, "p1_restored": p1_restored}
 SQL: dict[str, str] = {}
