@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.canonical import GENRE_ALIASES, map_to_reference
 from cadenza.llm.encodings import clean_bigrams, restore
+from cadenza.llm.names import act_of_spellings, name_bigrams, same_act_pairs
 from cadenza.operators.packed import bare
 from cadenza.plans.training_core import packed_genres
 from cadenza.session import table
@@ -53,5 +54,25 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped_genres(spark, sf_dir).where("ref_id = 0").select("typed", "n")
 
 
-QUERIES = {"p4_found": p4_found, "p4_unmatched": p4_unmatched, "p1_found": p1_found, "p1_restored": p1_restored}
+NAMED = [("genre_song_fixes", "band", "title"), ("song_info", "artist", "title"), ("ultrastar_values", "artist", "title")]
+
+
+def act_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(spelling, entity) of all names of acts."""
+    parts = [table(spark, sf_dir, t).select(F.col(c).alias("name"), F.col(title).alias("title")) for t, c, title in NAMED]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    bigrams = name_bigrams(both.select("name").unionAll(both.select("title")), "name")
+    return act_of_spellings(both, "name", bigrams)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_act_pairs(act_names(spark, sf_dir))
+
+
+def p3_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per spelling with the act it names."""
+    return act_names(spark, sf_dir)
+
+
+QUERIES = {"p3_found": p3_found, "p3_acts": p3_acts, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p1_found": p1_found, "p1_restored": p1_restored}
 SQL: dict[str, str] = {}
