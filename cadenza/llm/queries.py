@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.canonical import GENRE_ALIASES, map_to_reference
 from cadenza.llm.encodings import clean_bigrams, restore
 from cadenza.llm.names import act_of_spellings, name_bigrams, same_act_pairs
+from cadenza.llm.readability import reading_levels
 from cadenza.operators.packed import bare
 from cadenza.plans.training_core import packed_genres
 from cadenza.session import table
@@ -74,5 +75,9 @@ def p3_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return act_names(spark, sf_dir)
 
 
-QUERIES = {"p3_found": p3_found, "p3_acts": p3_acts, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p1_found": p1_found, "p1_restored": p1_restored}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+QUERIES = {"p10_found": p10_found, "p3_found": p3_found, "p3_acts": p3_acts, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p1_found": p1_found, "p1_restored": p1_restored}
 SQL: dict[str, str] = {}
