@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.canonical import GENRE_ALIASES, map_to_reference
 from cadenza.llm.encodings import clean_bigrams, restore
+from cadenza.llm.mixing import mix, token_counts
 from cadenza.llm.names import act_of_spellings, name_bigrams, same_act_pairs
 from cadenza.llm.readability import reading_levels
 from cadenza.operators.packed import bare
@@ -79,5 +80,18 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES = {"p10_found": p10_found, "p3_found": p3_found, "p3_acts": p3_acts, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p1_found": p1_found, "p1_restored": p1_restored}
+def mixed_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
+    return mix(sized.withColumn("members", F.array("source")), table(spark, sf_dir, "mix_targets"), doc_id="doc_id", members="members")
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sources(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sources(spark, sf_dir)[1]
+
+
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p3_found": p3_found, "p3_acts": p3_acts, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p1_found": p1_found, "p1_restored": p1_restored}
 SQL: dict[str, str] = {}
