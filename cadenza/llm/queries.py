@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.canonical import GENRE_ALIASES, map_to_reference
 from cadenza.llm.encodings import clean_bigrams, restore
+from cadenza.llm.leakage import leaked
 from cadenza.llm.mixing import mix, token_counts
 from cadenza.llm.names import act_of_spellings, name_bigrams, same_act_pairs
 from cadenza.llm.readability import reading_levels
@@ -93,5 +94,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(spark, sf_dir)[1]
 
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p3_found": p3_found, "p3_acts": p3_acts, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p1_found": p1_found, "p1_restored": p1_restored}
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents concerned, the items in them, and the share of the item's words."""
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+QUERIES = {"p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p3_found": p3_found, "p3_acts": p3_acts, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p1_found": p1_found, "p1_restored": p1_restored}
 SQL: dict[str, str] = {}
