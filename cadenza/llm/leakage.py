@@ -40,7 +40,7 @@ TOKEN = re.compile("[^\\W_]+|\x1e")
 
 def words_of(texts: list[str | None]) -> list[np.ndarray]:
     """By text, its words as numbers: case, accents, punctuation, look-alike letters and line-end hyphens make no difference."""
-    whole = "\x1e".join(sung_text(t).replace("\x1e", " ") if t else "" for t in texts).lower()
+    whole = "\x1e".join(sung_text(t, headers=True).replace("\x1e", " ") if t else "" for t in texts).lower()
     if not whole.isascii():
         whole = INVISIBLE.sub("", unicodedata.normalize("NFKD", whole.translate(LOOKALIKES)).replace("ß", "ss"))
     found = TOKEN.findall(BROKEN.sub("", whole))
