@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.canonical import GENRE_ALIASES, map_to_reference
 from cadenza.llm.encodings import clean_bigrams, restore
 from cadenza.llm.leakage import leaked
+from cadenza.llm.matching import match_records
 from cadenza.llm.mixing import mix, token_counts
 from cadenza.llm.names import act_of_spellings, name_bigrams, same_act_pairs
 from cadenza.llm.readability import reading_levels
@@ -103,5 +104,28 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = {"p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p3_found": p3_found, "p3_acts": p3_acts, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p1_found": p1_found, "p1_restored": p1_restored}
+def matched_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixes and media that are one song, wrongly decoded values restored first."""
+    fixes = table(spark, sf_dir, "genre_song_fixes").select(F.col("fix_id").alias("id"), F.col("band").alias("act"), "title").distinct()
+    media = table(spark, sf_dir, "media_info").select(F.col("media_id").alias("id"), F.col("artist").alias("act"), "title").distinct()
+    both = fixes.unionByName(media)
+    bigrams = name_bigrams(both.select("act").unionAll(both.select("title")), "act")
+
+    def restored(df: DataFrame) -> DataFrame:
+        acts = restore(df, "act", bigrams).select("id", F.col("restored").alias("act"), "title")
+        return restore(acts, "title", bigrams).select("id", "act", F.col("restored").alias("title"))
+
+    return match_records(restored(fixes), restored(media))
+
+
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs with the agreement of their values and a calibrated confidence."""
+    return matched_songs(spark, sf_dir).select(F.col("left_id").alias("fix_id"), F.col("right_id").alias("media_id"), "agreement", "confidence")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_matches(spark, sf_dir).select("fix_id", "media_id").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_matches": p2_matches, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p3_found": p3_found, "p3_acts": p3_acts, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p1_found": p1_found, "p1_restored": p1_restored}
 SQL: dict[str, str] = {}
