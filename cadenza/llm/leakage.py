@@ -27,27 +27,36 @@ from cadenza.session import checkpoint
 COLUMNS = 1 << 14
 #: Passages are two neighbouring blocks of so many words; items' passages begin every ITEM_STEP words.
 BLOCK, ITEM_STEP = 16, 8
-RANK, OVERSAMPLE = 128, 16
-#: Words worked on at a time, which bounds memory.
-SLICE = 1 << 16
+RANK, OVERSAMPLE = 72, 8
+#: Blocks worked on at a time, which bounds memory.
+SLICE = 1 << 12
 SEED = 7
 #: Cyrillic letters that look like Latin ones. Fixed values.
 LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝ", "aeopcyxijshdqw")
-INVISIBLE = re.compile("[̀-ͯ­​-‏⁠﻿]+")
+#: Characters that don't show: combining marks, soft hyphens, joiners and spaces without width, byte order marks.
+HIDDEN = "\u0300-\u036f\u00ad\u200b-\u200f\u2060\ufeff"
+INVISIBLE = re.compile(f"[{HIDDEN}]+")
 BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n\s*(?=[^\W\d_])")
-TOKEN = re.compile("[^\\W_]+|\x1e")
+TOKEN = re.compile(f"[\\w{HIDDEN}]+|\x1e")
+
+
+def word_number(word: str) -> int:
+    """A word's number; -1 for what shows nothing."""
+    if not word.isascii():
+        word = INVISIBLE.sub("", unicodedata.normalize("NFKD", word.translate(LOOKALIKES)).replace("ß", "ss"))
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF if word else -1
 
 
 def words_of(texts: list[str | None]) -> list[np.ndarray]:
     """By text, its words as numbers: case, accents, punctuation, look-alike letters and line-end hyphens make no difference."""
-    whole = "\x1e".join(sung_text(t, headers=True).replace("\x1e", " ") if t else "" for t in texts).lower()
-    if not whole.isascii():
-        whole = INVISIBLE.sub("", unicodedata.normalize("NFKD", whole.translate(LOOKALIKES)).replace("ß", "ss"))
-    found = TOKEN.findall(BROKEN.sub("", whole))
-    number = {w: zlib.crc32(w.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF for w in set(found)}
-    number["\x1e"] = -1
+    whole = "\x1e".join(sung_text(t, headers=True).replace("\x1e", " ") if t else "" for t in texts).lower().replace("_", " ")
+    if "-\n" in whole or "-\r" in whole or "- " in whole:
+        whole = BROKEN.sub("", whole)
+    found = TOKEN.findall(whole)
+    number = {w: word_number(w) for w in set(found)}
+    number["\x1e"] = -2
     codes = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
-    return [p[p >= 0].astype(np.int32) for p in np.split(codes, np.flatnonzero(codes < 0))]
+    return [p[p >= 0].astype(np.int32) for p in np.split(codes, np.flatnonzero(codes == -2))]
 
 
 def pairs(words: np.ndarray) -> np.ndarray:
@@ -57,29 +66,25 @@ def pairs(words: np.ndarray) -> np.ndarray:
 
 
 class Blocks:
-    """The word pairs of several documents, cut into blocks that don't cross documents."""
+    """The word pairs of several documents, cut into blocks that don't cross documents; the last one of each is filled up with a column of zeros."""
 
     def __init__(self, documents: list[np.ndarray]):
         each = [pairs(d) if len(d) > 1 else np.zeros(0, np.int64) for d in documents]
-        sizes = np.array([len(p) for p in each])
-        self.pair = np.concatenate(each) if each else np.zeros(0, np.int64)
+        sizes = np.array([len(p) for p in each], int)
         counts = -(-sizes // BLOCK)
+        self.pair = np.concatenate(each) if each else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(len(documents)), sizes)
         self.doc = np.repeat(np.arange(len(documents)), counts)
-        first = np.repeat(np.cumsum(sizes) - sizes, counts)
-        nth = np.arange(len(self.doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.start = first + nth * BLOCK
+        place = np.arange(len(self.pair)) + np.repeat(np.cumsum(counts * BLOCK) - counts * BLOCK - (np.cumsum(sizes) - sizes), sizes)
+        self.column = np.full(len(self.doc) * BLOCK, COLUMNS)
+        self.column[place] = self.pair % COLUMNS
 
     def sums(self, matrix: np.ndarray) -> np.ndarray:
-        """By block, the sum of its pairs' rows of the matrix."""
-        out = np.zeros((len(self.start), matrix.shape[1]), np.float32)
-        ends = np.append(self.start[1:], len(self.pair))
-        column = self.pair % COLUMNS
-        low = 0
-        while low < len(self.start):
-            high = max(low + 1, int(np.searchsorted(ends, self.start[low] + SLICE, side="right")))
-            a = self.start[low]
-            out[low:high] = np.add.reduceat(matrix[column[a : ends[high - 1]]], self.start[low:high] - a, axis=0)
-            low = high
+        """By block, the sum of its pairs' rows of the matrix, whose last row is zero."""
+        out = np.zeros((len(self.doc), matrix.shape[1]), np.float32)
+        for at in range(0, len(self.doc), SLICE):
+            rows = matrix[self.column[at * BLOCK : (at + SLICE) * BLOCK]]
+            out[at : at + SLICE] = np.einsum("bkd->bd", rows.reshape(-1, BLOCK, matrix.shape[1]))
         return out
 
     def passages(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +95,17 @@ class Blocks:
         follows = np.append(self.doc[1:] == self.doc[:-1], False)
         alone = ~follows & np.append(True, self.doc[1:] != self.doc[:-1])
         at = np.flatnonzero(follows | alone)
-        out = sums[at] + np.where(follows[at][:, None], sums[np.minimum(at + 1, n - 1)], 0)
-        return out, self.doc[at]
+        return sums[at] + np.where(follows[at][:, None], sums[np.minimum(at + 1, n - 1)], 0), self.doc[at]
+
+    def spread(self, rows: np.ndarray, into: np.ndarray) -> None:
+        """Adds each block's row to the columns of its pairs."""
+        for at in range(0, len(self.doc), SLICE):
+            column = self.column[at * BLOCK : (at + SLICE) * BLOCK]
+            order = np.argsort(column, kind="stable")
+            ends = np.flatnonzero(np.append(np.diff(column[order]) != 0, True))
+            total = np.cumsum(rows[at + order // BLOCK], axis=0, dtype=np.float64)[ends]
+            total[1:] -= total[:-1].copy()
+            into[column[order][ends]] += total
 
 
 def _batched(frames: Iterator[pd.DataFrame], words: str, size: int = 400) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
@@ -117,52 +131,43 @@ def _matrix_sum(parts: DataFrame, width: int) -> np.ndarray:
 
 
 def inverse_frequency(numbered: DataFrame) -> np.ndarray:
-    """IDF by column over all blocks of all documents."""
+    """IDF by column over all documents; a pair counts each time, as it hardly ever comes twice in a block."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((COLUMNS + 1, 1))
         for _, docs in _batched(frames, "words"):
             b = Blocks(docs)
-            if len(b.pair):
-                block = np.searchsorted(b.start, np.arange(len(b.pair)), side="right") - 1
-                seen = np.unique(block * COLUMNS + b.pair % COLUMNS) % COLUMNS
-                total[:COLUMNS, 0] += np.bincount(seen, minlength=COLUMNS)
-                total[COLUMNS, 0] += len(b.start)
+            total[:COLUMNS, 0] += np.bincount(b.column, minlength=COLUMNS + 1)[:COLUMNS]
+            total[COLUMNS, 0] += len(b.doc)
         yield _packed(total, COLUMNS + 1)
 
     total = _matrix_sum(numbered.select("words").mapInPandas(count, "at int, sums binary"), 1)[:, 0]
-    return np.log((total[COLUMNS] + 1) / (total[:COLUMNS] + 1)).astype(np.float32)
+    return np.maximum(np.log((total[COLUMNS] + 1) / (total[:COLUMNS] + 1)), 0.0).astype(np.float32)
+
+
+def _with_zero(matrix: np.ndarray) -> np.ndarray:
+    return np.concatenate([matrix, np.zeros((1, matrix.shape[1]))]).astype(np.float32)
 
 
 def latent_space(numbered: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """COLUMNS x RANK: the leading right singular vectors of the passages' TF-IDF matrix, times IDF.
+    """COLUMNS x RANK: the leading right singular vectors of the blocks' TF-IDF matrix, times IDF.
 
     A randomised SVD in one distributed pass: tasks sum A'(A W) for a random
-    W over all passages; the driver gets one COLUMNS x (RANK + OVERSAMPLE)
+    W over all blocks; the driver gets one COLUMNS x (RANK + OVERSAMPLE)
     matrix and finishes by the Nystroem formula for A'A.
     """
     width = RANK + OVERSAMPLE
     random = np.random.RandomState(SEED).standard_normal((COLUMNS, width)).astype(np.float32)
     spark = numbered.sparkSession
-    shared = spark.sparkContext.broadcast((random * idf[:, None]).astype(np.float32))
+    shared = spark.sparkContext.broadcast(_with_zero(random * idf[:, None]))
 
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((COLUMNS, width), np.float32)
+        total = np.zeros((COLUMNS + 1, width))
         for _, docs in _batched(frames, "words"):
             b = Blocks(docs)
-            if not len(b.pair):
-                continue
-            sums = b.sums(shared.value)
-            # A passage is two blocks, so a block's pairs meet the sketches of the passages on both sides.
-            same = np.append(b.doc[1:] == b.doc[:-1], False)
-            passage = sums + np.where(same[:, None], np.roll(sums, -1, axis=0), 0)
-            before = np.roll(same, 1)
-            meets = np.where((same | ~before)[:, None], passage, 0) + np.where(before[:, None], np.roll(passage, 1, axis=0), 0)
-            column = b.pair % COLUMNS
-            order = np.argsort(column, kind="stable")
-            block = np.searchsorted(b.start, order, side="right") - 1
-            used, first = np.unique(column[order], return_index=True)
-            total[used] += np.add.reduceat(meets[block], first, axis=0)
+            if len(b.doc):
+                b.spread(b.sums(shared.value), total)
+        total = total[:COLUMNS]
         yield _packed(total, COLUMNS // 16)
 
     y = _matrix_sum(numbered.select("words").mapInPandas(sketch, "at int, sums binary"), width).astype(np.float64) * idf[:, None]
@@ -184,12 +189,35 @@ class Item:
     def __init__(self, words: np.ndarray):
         self.size = len(words)
         self.at: dict[int, list[int]] = defaultdict(list)
-        for i, p in enumerate(pairs(words).tolist()):
+        for i, p in enumerate(pairs(words).tolist() if len(words) > 1 else []):
             self.at[p].append(i)
-        self.known = np.array(sorted(self.at), np.int64)
 
 
-def covered(item: Item, document_pairs: np.ndarray, *, gap: int = 2, density: float = 0.7, loose: int = 10, strict: int = 8) -> float:
+class Shared:
+    """Which items hold a pair: counts what documents and candidates have in common before they are aligned."""
+
+    def __init__(self, items: list[Item]):
+        held = sorted((p, k) for k, item in enumerate(items) for p in item.at)
+        codes = np.array([p for p, _ in held], np.int64)
+        self.item = np.array([k for _, k in held], np.int64)
+        self.known, self.first = np.unique(codes, return_index=True)
+        self.count = np.diff(np.append(self.first, len(codes)))
+        self.items = len(items)
+
+    def hits(self, b: Blocks) -> dict[int, int]:
+        """How many pairs each document (times the number of items) and item have in common."""
+        if not len(self.known) or not len(b.pair):
+            return {}
+        near = np.minimum(np.searchsorted(self.known, b.pair), len(self.known) - 1)
+        at = np.flatnonzero(self.known[near] == b.pair)
+        n = self.count[near[at]]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        items = self.item[np.repeat(self.first[near[at]], n) + inside]
+        code, count = np.unique(np.repeat(b.owner[at], n) * self.items + items, return_counts=True)
+        return dict(zip(code.tolist(), count.tolist(), strict=True))
+
+
+def covered(item: Item, document_pairs: list[int], *, gap: int = 2, density: float = 0.7, loose: int = 10, strict: int = 8) -> float:
     """The share of the item's words in stretches that the document holds in order.
 
     A stretch is a chain of common word runs, at most `gap` other words apart
@@ -197,15 +225,9 @@ def covered(item: Item, document_pairs: np.ndarray, *, gap: int = 2, density: fl
     least `density` are the same: either `strict` words in one run, or
     `loose` words in all, as short runs of set phrases meet by chance.
     """
-    if item.size < 2:
-        return 0.0
-    near = np.minimum(np.searchsorted(item.known, document_pairs), len(item.known) - 1)
-    hits = np.flatnonzero(item.known[near] == document_pairs)
-    if len(hits) < 0.2 * item.size:
-        return 0.0
     runs, open_run = [], {}
-    for j, p in zip(hits.tolist(), document_pairs[hits].tolist(), strict=True):
-        for i in item.at[p]:
+    for j, p in enumerate(document_pairs):
+        for i in item.at.get(p, ()):
             run = open_run.get(j - i)
             if run and run[1] == i + 1:
                 run[1] = i + 2
@@ -226,10 +248,10 @@ def covered(item: Item, document_pairs: np.ndarray, *, gap: int = 2, density: fl
         tails[shift].append((low, high, same, start, longest))
         if same >= density * (high - start) and (same >= loose or longest >= strict):
             held[start:high] = True
-    return float(held.mean())
+    return float(held.mean()) if item.size else 0.0
 
 
-def leaked(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least_share: float = 0.4, least_cosine: float = 0.8, most_items: int = 20_000) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least_share: float = 0.4, least_cosine: float = 0.85, most_items: int = 20_000) -> DataFrame:
     """(doc_id, item_id, share): the documents that hold at least `least_share` of an item's words in stretches.
 
     Items go to every task, so their number is checked against `most_items`;
@@ -262,24 +284,28 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", it
             if len(part := p[at : at + 2 * BLOCK]):
                 vectors.append(space[part].sum(0))
                 owners.append(k)
-    shared = spark.sparkContext.broadcast((space, _unit(np.array(vectors, np.float32).reshape(-1, space.shape[1])), np.array(owners, int), words, ids))
+    shared = spark.sparkContext.broadcast((_with_zero(space), _unit(np.array(vectors, np.float32).reshape(-1, space.shape[1])), np.array(owners, int), words, ids))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space, probes, owners, words, ids = shared.value
         known = [Item(w) for w in words]
+        common = Shared(known)
+        least = [0.35 * least_share * item.size for item in known]
         for part, docs in _batched(frames, "words"):
             b = Blocks(docs)
             passage, of = b.passages(b.sums(space))
-            found = set()
             passage = _unit(passage)
+            found = set()
             for at in range(0, len(passage), 1024):
-                d, k = np.nonzero(passage[at : at + 1024] @ probes.T >= least_cosine)
-                found.update((of[at + d] * len(known) + owners[k]).tolist())
-            out, last, of_doc = [], -1, None
-            for code in sorted(found):
+                d, k = divmod(np.flatnonzero((passage[at : at + 1024] @ probes.T).ravel() >= least_cosine), len(probes))
+                found.update(np.unique(of[at + d] * len(known) + owners[k]).tolist())
+            # Stretches are dense in common runs of two words or more, so fewer common pairs than this reach no such share.
+            hits = common.hits(b) if found else {}
+            out, last, of_doc = [], -1, []
+            for code in sorted(c for c in found if hits.get(c, 0) >= least[c % len(known)]):
                 d, k = divmod(code, len(known))
                 if d != last:
-                    last, of_doc = d, pairs(docs[d])
+                    last, of_doc = d, pairs(docs[d]).tolist()
                 share = covered(known[k], of_doc)
                 if share >= least_share:
                     out.append((part[doc_id].iloc[d], ids[k], share))

@@ -39,7 +39,7 @@ def sung_text(text: str, headers: bool = False) -> str:
     """The words of a song file, a line each, with or without what its header tags say; other texts as they are."""
     if not text.startswith(("#", "﻿#")) or not NOTE.search(text):
         return text
-    text = BREAK.sub("\x1d", HEADER.sub(r"\1\x1d" if headers else "", text.replace("﻿", "").replace("\r", "")))
+    text = BREAK.sub("\x1d", HEADER.sub("\\1\x1d" if headers else "", text.replace("﻿", "").replace("\r", "")))
     text = NOTE.sub(r"\1", text)
     return re.sub(r"\x1d", "\n", re.sub(r"\n", " ", text).replace(" ~", ""))
 
