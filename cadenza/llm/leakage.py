@@ -27,7 +27,7 @@ from cadenza.session import checkpoint
 COLUMNS = 1 << 14
 #: Passages are two neighbouring blocks of so many words; items' passages begin every ITEM_STEP words.
 BLOCK, ITEM_STEP = 16, 8
-RANK, OVERSAMPLE = 72, 8
+RANK, OVERSAMPLE = 64, 8
 #: Blocks worked on at a time, which bounds memory.
 SLICE = 1 << 12
 SEED = 7
@@ -98,14 +98,11 @@ class Blocks:
         return sums[at] + np.where(follows[at][:, None], sums[np.minimum(at + 1, n - 1)], 0), self.doc[at]
 
     def spread(self, rows: np.ndarray, into: np.ndarray) -> None:
-        """Adds each block's row to the columns of its pairs."""
+        """Adds each block's row to the columns of its pairs; `into` has a row for each of the row's values."""
         for at in range(0, len(self.doc), SLICE):
             column = self.column[at * BLOCK : (at + SLICE) * BLOCK]
-            order = np.argsort(column, kind="stable")
-            ends = np.flatnonzero(np.append(np.diff(column[order]) != 0, True))
-            total = np.cumsum(rows[at + order // BLOCK], axis=0, dtype=np.float64)[ends]
-            total[1:] -= total[:-1].copy()
-            into[column[order][ends]] += total
+            for k, of_block in enumerate(np.ascontiguousarray(rows[at : at + SLICE].T)):
+                into[k] += np.bincount(column, np.repeat(of_block, BLOCK), len(into[k]))
 
 
 def _batched(frames: Iterator[pd.DataFrame], words: str, size: int = 400) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
@@ -162,12 +159,12 @@ def latent_space(numbered: DataFrame, idf: np.ndarray) -> np.ndarray:
     shared = spark.sparkContext.broadcast(_with_zero(random * idf[:, None]))
 
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((COLUMNS + 1, width))
+        total = np.zeros((width, COLUMNS + 1))
         for _, docs in _batched(frames, "words"):
             b = Blocks(docs)
             if len(b.doc):
                 b.spread(b.sums(shared.value), total)
-        total = total[:COLUMNS]
+        total = np.ascontiguousarray(total.T[:COLUMNS])
         yield _packed(total, COLUMNS // 16)
 
     y = _matrix_sum(numbered.select("words").mapInPandas(sketch, "at int, sums binary"), width).astype(np.float64) * idf[:, None]
@@ -204,17 +201,17 @@ class Shared:
         self.count = np.diff(np.append(self.first, len(codes)))
         self.items = len(items)
 
-    def hits(self, b: Blocks) -> dict[int, int]:
+    def hits(self, b: Blocks, documents: int) -> np.ndarray:
         """How many pairs each document (times the number of items) and item have in common."""
+        size = documents * self.items
         if not len(self.known) or not len(b.pair):
-            return {}
+            return np.zeros(size, int)
         near = np.minimum(np.searchsorted(self.known, b.pair), len(self.known) - 1)
         at = np.flatnonzero(self.known[near] == b.pair)
         n = self.count[near[at]]
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         items = self.item[np.repeat(self.first[near[at]], n) + inside]
-        code, count = np.unique(np.repeat(b.owner[at], n) * self.items + items, return_counts=True)
-        return dict(zip(code.tolist(), count.tolist(), strict=True))
+        return np.bincount(np.repeat(b.owner[at], n) * self.items + items, minlength=size)
 
 
 def covered(item: Item, document_pairs: list[int], *, gap: int = 2, density: float = 0.7, loose: int = 10, strict: int = 8) -> float:
@@ -290,19 +287,19 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", it
         space, probes, owners, words, ids = shared.value
         known = [Item(w) for w in words]
         common = Shared(known)
-        least = [0.35 * least_share * item.size for item in known]
+        least = np.array([0.35 * least_share * item.size for item in known])
         for part, docs in _batched(frames, "words"):
             b = Blocks(docs)
             passage, of = b.passages(b.sums(space))
             passage = _unit(passage)
-            found = set()
+            found = np.zeros(len(docs) * len(known), bool)
             for at in range(0, len(passage), 1024):
-                d, k = divmod(np.flatnonzero((passage[at : at + 1024] @ probes.T).ravel() >= least_cosine), len(probes))
-                found.update(np.unique(of[at + d] * len(known) + owners[k]).tolist())
+                d, k = divmod(np.flatnonzero((passage[at : at + 1024] @ probes.T).ravel() >= least_cosine), max(1, len(probes)))
+                found[of[at + d] * len(known) + owners[k]] = True
             # Stretches are dense in common runs of two words or more, so fewer common pairs than this reach no such share.
-            hits = common.hits(b) if found else {}
+            hits = common.hits(b, len(docs)) if found.any() else found
             out, last, of_doc = [], -1, []
-            for code in sorted(c for c in found if hits.get(c, 0) >= least[c % len(known)]):
+            for code in np.flatnonzero(found & (hits >= np.tile(least, len(docs)))).tolist():
                 d, k = divmod(code, len(known))
                 if d != last:
                     last, of_doc = d, pairs(docs[d]).tolist()
