@@ -85,8 +85,8 @@ def theil_sen(df: DataFrame, keys: list[str], x: str, y: str, *, least: int = 8,
 
 def best_window_share(df: DataFrame, keys: list[str], value: str, width: float) -> DataFrame:
     """The largest share of a key's values that lie within `width` of each other."""
-    w = Window.partitionBy(*keys).orderBy(value).rangeBetween(-(width + 1e-9), 0)
-    seen = df.where(F.col(value).isNotNull()).select(*keys, F.count(F.lit(1)).over(w).alias("c"))
+    w = f"PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY `{value}` RANGE BETWEEN {width + 1e-9!r}D PRECEDING AND CURRENT ROW"
+    seen = df.where(F.col(value).isNotNull()).select(*keys, F.expr(f"count(1) OVER ({w})").alias("c"))
     return seen.groupBy(*keys).agg((F.max("c") / F.count(F.lit(1))).alias("share"))
 
 

