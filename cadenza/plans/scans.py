@@ -92,7 +92,7 @@ def s15(spark: SparkSession, d: str) -> DataFrame:
     return texts.read_plain_lyrics(sheets, "doc_id", "text")
 
 
-@query("s14_timed_lyrics", r"""SELECT take_id, seq::INT + 1 AS line_no, round(m * 60 + s + f / 100, 6) AS start_s, trim(word) AS line FROM (SELECT DISTINCT take_id, seq, word, (start_s // 60)::INT AS m, (start_s % 60)::INT - CASE WHEN (start_s % 60)::INT > start_s % 60 THEN 1 ELSE 0 END AS s, 7 AS f FROM timed_words WHERE start_s >= 0 AND NOT isnan(start_s)) WHERE trim(word) <> '' AND NOT regexp_matches(trim(word), '^\([^)]*\)$')""".replace("seq::INT + 1", "1"))
+@query("s14_timed_lyrics", r"""SELECT take_id, seq::INT + 1 AS line_no, round(m * 60 + s + f / 100, 6) AS start_s, trim(word) AS line FROM (SELECT DISTINCT take_id, seq, word, floor(start_s / 60) AS m, floor(start_s % 60) AS s, 7 AS f FROM timed_words WHERE start_s >= 0 AND NOT isnan(start_s)) WHERE trim(word) <> '' AND NOT regexp_matches(trim(word), '^\([^)]*\)$')""".replace("seq::INT + 1", "1"))
 def s14(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "timed_words").where("start_s >= 0 and not isnan(start_s)").select("take_id", "seq", "word", F.floor(F.col("start_s") / 60).alias("m"), F.floor(F.col("start_s") % 60).alias("s")).distinct()
     stamped = w.withColumn("key", F.struct("take_id", "seq", "word", "m", "s")).withColumn("text", F.concat(F.format_string("[%02d:%02d.07]", "m", "s"), "word"))

@@ -93,17 +93,17 @@ def lyric_lines(notes: DataFrame, key: str) -> DataFrame:
 
 def set_tag(text: Column, tag: str, value: str | None) -> Column:
     """The text with the first line of a tag replaced, later ones dropped; without one, added before the first line that is no tag; value None removes it."""
-    end = F.when(text.contains("\r\n"), F.lit("\r\n")).otherwise(F.lit("\n"))
+    joined = lambda x: F.when(text.contains("\r\n"), F.array_join(x, "\r\n")).otherwise(F.array_join(x, "\n"))
     all_lines = F.split(text, r"\r\n|\n", -1)
     is_it = lambda x: F.upper(x).rlike(f"^\\x{{FEFF}}?#{tag.upper()}:")
     first = F.array_min(F.filter(F.transform(all_lines, lambda x, i: F.when(is_it(x), i)), lambda i: i.isNotNull()))
     if value is None:
-        return F.array_join(F.filter(all_lines, lambda x: ~is_it(x)), end)
+        return joined(F.filter(all_lines, lambda x: ~is_it(x)))
     new = F.lit(f"#{tag.upper()}:{value}")
     replaced = F.filter(F.transform(all_lines, lambda x, i: F.when(is_it(x) & (i == first), new).when(~is_it(x), x)), lambda x: x.isNotNull())
     header = F.coalesce(F.array_min(F.filter(F.transform(all_lines, lambda x, i: F.when(~x.rlike(r"^\x{FEFF}?#"), i)), lambda i: i.isNotNull())), F.size(all_lines))
     added = F.flatten(F.array(F.filter(all_lines, lambda x, i: i < header), F.array(new), F.filter(all_lines, lambda x, i: i >= header)))
-    return F.array_join(F.when(first.isNotNull(), replaced).otherwise(added), end)
+    return joined(F.when(first.isNotNull(), replaced).otherwise(added))
 
 
 def write_text(headers: DataFrame, notes: DataFrame, key: str, order: list[str]) -> DataFrame:
