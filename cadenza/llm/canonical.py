@@ -48,6 +48,7 @@ class Dictionary:
         by_name = {plain(name): i for i, name, _ in entries if name}
         keys = [(squeezed(name), i) for i, name, _ in entries if name]
         keys += [(squeezed(other), by_name[plain(name)]) for other, name in aliases.items() if plain(name) in by_name]
+        self.longest = max((len(k) for k, _ in keys), default=0)
         for key, i in keys:
             if key and self.exact.setdefault(key, i) == i:
                 for left in deletes(key, self.slips(key)):
@@ -81,7 +82,7 @@ class Dictionary:
         for depth in (1, 2):
             found = {}
             for key in keys:
-                if self.slips(key) < depth:
+                if self.slips(key) < depth or len(key) > self.longest + depth:  # no entry can be that near
                     continue
                 for left in deletes(key, depth):
                     for other, i in self.near.get(left, ()):
