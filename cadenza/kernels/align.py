@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cadenza.functions.similarity import similar_words
 
@@ -81,19 +82,22 @@ def matching_blocks(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 METHODS = {"subsequence": common_subsequence, "affine": affine_pairs, "blocks": matching_blocks}
 
 
-def align(left: DataFrame, right: DataFrame, key: str, order: str, word: str, method: str = "subsequence") -> DataFrame:
-    """(key, left order, right order) of aligned words, a group for each key; keys of one side only give no rows.
+def align(left: DataFrame, right: DataFrame, key: str | list[str], order: str, word: str, method: str = "subsequence") -> DataFrame:
+    """(key, left order, right order) of aligned words, a group for each key (one column or several); keys of one side only give no rows.
 
     Costs words times words of one key, so keys must be songs or takes, not libraries.
     """
     pair = METHODS[method]
-    kind = left.schema[key].dataType.simpleString()
+    keys = [key] if isinstance(key, str) else key
+    kinds = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = (x[x[word].notna()].sort_values([order, word]) for x in (a, b))
         if not len(a) or not len(b):
-            return pd.DataFrame({key: [], "left_no": [], "right_no": []})
+            return pd.DataFrame({**{k: [] for k in keys}, "left_no": [], "right_no": []})
         pairs = pair(list(a[word]), list(b[word]))
-        return pd.DataFrame({key: a[key].iloc[0], "left_no": [int(a[order].iloc[i]) for i, _ in pairs], "right_no": [int(b[order].iloc[j]) for _, j in pairs]})
+        return pd.DataFrame({**{k: a[k].iloc[0] for k in keys}, "left_no": [int(a[order].iloc[i]) for i, _ in pairs], "right_no": [int(b[order].iloc[j]) for _, j in pairs]})
 
-    return left.select(key, order, word).groupBy(key).cogroup(right.select(key, order, word).groupBy(key)).applyInPandas(one, f"`{key}` {kind}, left_no long, right_no long")
+    # New columns on both sides: those of one table could not be told apart.
+    sides = [df.select(*[F.col(c).alias(c) for c in (*keys, order, word)]).groupBy(*keys) for df in (left, right)]
+    return sides[0].cogroup(sides[1]).applyInPandas(one, f"{kinds}, left_no long, right_no long")

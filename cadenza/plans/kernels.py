@@ -30,41 +30,45 @@ r6 = lambda c: F.round(c, 6)
 OV = "PARTITION BY user_id ORDER BY ts, event_id"
 
 
+TAKE = ["song_id", "take_id", "voice"]
+
+
 def sung_words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The words of a song's file and of its first take, each numbered."""
-    notes = table(spark, d, "notes").where("coalesce(voice, 'P1') = 'P1' and word is not null and trim(word) <> '~'").select("song_id", "line_no", "note_seq", F.lower(F.trim("word")).alias("word")).distinct()
-    number = lambda *order: F.row_number().over(Window.partitionBy("song_id").orderBy(*order))
-    left = notes.select("song_id", number("line_no", "note_seq", "word").alias("n"), "word")
-    takes = table(spark, d, "timed_words").groupBy("song_id").agg(F.min("take_id").alias("take_id"))
-    words = table(spark, d, "timed_words").join(takes, ["song_id", "take_id"]).select("song_id", "seq", F.lower(F.trim("word")).alias("word")).distinct()
-    return left, words.select("song_id", number("seq", "word").alias("n"), "word")
+    """The words of a song's file and of a take, each numbered, for every take of the song and every voice of the file; a take holds all voices."""
+    notes = table(spark, d, "notes").where("word is not null and trim(word) <> '~'").select("song_id", F.coalesce("voice", F.lit("P1")).alias("voice"), "line_no", "note_seq", F.lower(F.trim("word")).alias("word")).distinct()
+    number = lambda keys, *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    left = notes.select("song_id", "voice", number(["song_id", "voice"], "line_no", "note_seq", "word").alias("n"), "word")
+    words = table(spark, d, "timed_words").select("song_id", "take_id", "seq", F.lower(F.trim("word")).alias("word")).distinct()
+    right = words.select("song_id", "take_id", number(["song_id", "take_id"], "seq", "word").alias("n"), "word")
+    takes, voices = right.select("song_id", "take_id").distinct(), left.select("song_id", "voice").distinct()
+    return left.join(takes, "song_id").select(*TAKE, "n", "word"), right.join(voices, "song_id").select(*TAKE, "n", "word")
 
 
 @query("k1_common_subsequence")
 def k1(spark: SparkSession, d: str) -> DataFrame:
-    return align.align(*sung_words(spark, d), "song_id", "n", "word", "subsequence")
+    return align.align(*sung_words(spark, d), TAKE, "n", "word", "subsequence")
 
 
 @query("k2_affine_pairs")
 def k2(spark: SparkSession, d: str) -> DataFrame:
-    return align.align(*sung_words(spark, d), "song_id", "n", "word", "affine")
+    return align.align(*sung_words(spark, d), TAKE, "n", "word", "affine")
 
 
 @query("k3_matching_blocks")
 def k3(spark: SparkSession, d: str) -> DataFrame:
-    return align.align(*sung_words(spark, d), "song_id", "n", "word", "blocks")
+    return align.align(*sung_words(spark, d), TAKE, "n", "word", "blocks")
 
 
 @query("a16_words_heard")
 def a16(spark: SparkSession, d: str) -> DataFrame:
-    """The share of a song's words that its take holds in order, and the longest run that it doesn't."""
+    """The share of a voice's words that each take of the song holds in order, and the longest run that it doesn't."""
     left, right = sung_words(spark, d)
-    heard = align.align(left, right, "song_id", "n", "word").select("song_id", F.col("left_no").alias("n"), F.lit(1).alias("hit"))
-    marked = left.join(heard, ["song_id", "n"], "left").withColumn("miss", F.col("hit").isNull())
-    run = F.col("n") - F.row_number().over(Window.partitionBy("song_id", "miss").orderBy("n"))
-    runs = marked.where("miss").withColumn("run", run).groupBy("song_id", "run").agg(F.count(F.lit(1)).alias("k")).groupBy("song_id").agg(F.max("k").alias("longest_unheard"))
-    share = marked.groupBy("song_id").agg(r6(F.avg(F.coalesce("hit", F.lit(0)).cast("double"))).alias("heard"))
-    return share.join(runs, "song_id", "left").select("song_id", "heard", F.coalesce("longest_unheard", F.lit(0)).alias("longest_unheard"))
+    heard = align.align(left, right, TAKE, "n", "word").select(*TAKE, F.col("left_no").alias("n"), F.lit(1).alias("hit"))
+    marked = left.join(heard, [*TAKE, "n"], "left").withColumn("miss", F.col("hit").isNull())
+    run = F.col("n") - F.row_number().over(Window.partitionBy(*TAKE, "miss").orderBy("n"))
+    runs = marked.where("miss").withColumn("run", run).groupBy(*TAKE, "run").agg(F.count(F.lit(1)).alias("k")).groupBy(*TAKE).agg(F.max("k").alias("longest_unheard"))
+    share = marked.groupBy(*TAKE).agg(r6(F.avg(F.coalesce("hit", F.lit(0)).cast("double"))).alias("heard"))
+    return share.join(runs, TAKE, "left").select(*TAKE, "heard", F.coalesce("longest_unheard", F.lit(0)).alias("longest_unheard"))
 
 
 @query("k10_held_notes")
