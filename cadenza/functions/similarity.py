@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.session import checkpoint
+
 
 def fold_word(text: str | None) -> str | None:
     """Lower case, no accents, letters only."""
@@ -66,19 +70,75 @@ def fold_word_column(x: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(fold_word, na_action="ignore"), T.StringType(), functionType=F.PandasUDFType.SCALAR)(x)
 
 
-def fuzzy_best(left: DataFrame, right: DataFrame, row: str, candidate: str, names: list[str], *, least: float = 0.9, k: int = 3, grams: int = 3) -> DataFrame:
+def _at_least(least: float, a: Column, b: Column) -> Column:
+    """The ratio of matching blocks, null where a name is missing, -1 where cheap bounds show it below `least`."""
+
+    def ratio(x: str, y: str) -> float:
+        m = SequenceMatcher(None, x, y)
+        return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else -1.0
+
+    return _each(ratio, T.DoubleType())(a, b)
+
+
+def _name_keys(name: str, least: float, common: dict[str, int], one: bool) -> list[str]:
+    """Keys of which two names with a ratio of `least` share one.
+
+    Such names of lengths S in all have (1.5 least - 1) S - 1 pairs of letters
+    in common, for M matching letters leave at most S - 2 M breaks between
+    them; so their rarest pairs meet (a prefix filter). Names too short for
+    that meet by their lengths: `one` gives its own, the others all that fit.
+    """
+    size, wide, slack = len(name), (2 - least) / least if least > 0 else math.inf, 1e-9
+    share = (1.5 * least - 1) * 2 / (2 - least)
+    short = (1 + slack) / share if share > 0 else math.inf
+    keys = []
+    if size <= short * wide + slack:
+        keys = [f"#{size}"] if one else [f"#{n}" for n in range(math.ceil(size / wide - slack), (math.floor(size * wide + slack) if wide < math.inf else 1000) + 1)]
+    if size > short:
+        seen: Counter = Counter()
+        pairs = []
+        for i in range(size - 1):
+            seen[name[i : i + 2]] += 1
+            pairs.append((common.get(name[i : i + 2], 0), name[i : i + 2], seen[name[i : i + 2]]))
+        least_shared = max(1, math.ceil(share * size - 1 - slack))
+        keys += [f"{gram}{n}" for _, gram, n in sorted(pairs)[: size - least_shared]]
+    return keys
+
+
+def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(l_name, r_name, ratio): all pairs of different values of two columns `name` with a ratio of matching blocks of at least `least`."""
+    left, right = (df.where("name is not null").select("name").distinct() for df in (left, right))
+    grams = left.union(right).select(F.explode(F.expr("transform(sequence(1, greatest(1, char_length(name) - 1)), i -> substring(name, i, 2))")).alias("gram"))
+    common = {r.gram: r.n for r in grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(100_000).collect()}
+    keys = lambda one: F.pandas_udf(lambda s: s.map(lambda x: _name_keys(x, least, common, one)), T.ArrayType(T.StringType()), functionType=F.PandasUDFType.SCALAR)
+    a = left.select(F.col("name").alias("l_name"), F.explode(keys(True)("name")).alias("key"))
+    b = right.select(F.col("name").alias("r_name"), F.explode(keys(False)("name")).alias("key"))
+    size = lambda c: F.char_length(c)
+    fit = F.least(size("l_name"), size("r_name")) * 2 >= (size("l_name") + size("r_name")) * F.lit(least - 1e-9)
+    pairs = a.join(b, "key").where(fit).select("l_name", "r_name").distinct()
+    return pairs.withColumn("ratio", _at_least(least, F.col("l_name"), F.col("r_name"))).where(F.col("ratio") >= least)
+
+
+def fuzzy_best(left: DataFrame, right: DataFrame, row: str, candidate: str, names: list[str], *, least: float = 0.9, k: int = 3) -> DataFrame:
     """For each left row the k right rows whose worst name ratio is at least `least`: row, candidate, score, place.
 
-    Candidates share the beginning of a name, lower case without accents: rows
-    meet on equal keys, each name's first `grams` letters, never all with all.
+    A missing name doesn't count. Different values of the first name meet by
+    keys that such a ratio guarantees, so no pair is lost; rows without it
+    meet by the next name.
     """
     normal = F.pandas_udf(lambda s: s.map(normal_name, na_action="ignore"), T.StringType(), functionType=F.PandasUDFType.SCALAR)
-    prepared = lambda df, key, p: df.select(F.col(key).alias(p + "id"), *[normal(F.col(n)).alias(p + n) for n in names])
+    prepared = lambda df, key, p: checkpoint(df.select(F.col(key).alias(p + "id"), *[normal(F.col(n)).alias(p + n) for n in names]))
     a, b = prepared(left, row, "l_"), prepared(right, candidate, "r_")
-    keys = lambda p: F.array_distinct(F.array(*[F.concat(F.lit(f"{n}:"), F.substring(F.col(p + n), 1, grams)) for n in names]))
-    pairs = a.withColumn("key", F.explode(keys("l_"))).join(b.withColumn("key", F.explode(keys("r_"))), "key").drop("key").distinct()
-    score = F.least(*[block_ratio_column(F.col("l_" + n), F.col("r_" + n)) for n in names]) if len(names) > 1 else block_ratio_column(F.col("l_" + names[0]), F.col("r_" + names[0]))
+    pairs = None
+    for i, n in enumerate(names):
+        alike = similar_names(a.select(F.col("l_" + n).alias("name")), b.select(F.col("r_" + n).alias("name")), least).select(F.col("l_name").alias("l_" + n), F.col("r_name").alias("r_" + n), F.col("ratio").alias("first"))
+        met = a.join(alike, "l_" + n).join(b, "r_" + n)
+        for x in names[:i]:
+            met = met.where(F.col("l_" + x).isNull() | F.col("r_" + x).isNull())
+        rest = [_at_least(least, F.col("l_" + x), F.col("r_" + x)) for x in names[i + 1 :]]
+        score = F.least("first", *rest) if rest else F.col("first")
+        met = met.select(F.col("l_id").alias(row), F.col("r_id").alias(candidate), score.alias("score"))
+        pairs = met if pairs is None else pairs.union(met)
     from cadenza.operators.joins import top_of
 
-    scored = pairs.select(F.col("l_id").alias(row), F.col("r_id").alias(candidate), score.alias("score")).where(F.col("score") >= least)
-    return top_of(scored, [row], [F.desc("score"), F.col(candidate)], k)
+    return top_of(pairs.where(F.col("score") >= least), [row], [F.desc("score"), F.col(candidate)], k)

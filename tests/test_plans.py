@@ -1,5 +1,8 @@
 """Queries on small tables of their own: the whole job, not a part of it."""
 
+import random
+
+from cadenza.functions import similarity
 from cadenza.plans import kernels
 
 
@@ -18,3 +21,24 @@ def test_every_take_is_aligned_with_every_voice(spark, tmp_path):
         assert {(r.song_id, r.take_id, r.voice, r.left_no, r.right_no) for r in q(spark, d).collect()} == want
     heard = {(r.song_id, r.take_id, r.voice): (r.heard, r.longest_unheard) for r in kernels.a16(spark, d).collect()}
     assert heard == {(7, 70, "P1"): (1.0, 0), (7, 70, "P2"): (0.0, 1), (7, 71, "P1"): (0.5, 1), (7, 71, "P2"): (1.0, 0), (8, 80, "P1"): (1.0, 0)}
+
+
+def test_fuzzy_best_is_the_brute_force(spark):
+    rng = random.Random(5)
+    slip = lambda t: "".join(c for c in t if rng.random() > 0.12) + rng.choice(["", "x"])
+    names = [("penelope jidomakelund", "rsve ile"), ("abba", "sos"), ("u2", "one"), ("the midnight band", "paper harbour"), ("", "nothing"), (None, "silence"), ("alone", None)]
+    left = [(i, *n) for i, n in enumerate(names * 3)]
+    right = [(100, "peenlope jidomakelund", "reve ile")] + [(101 + i, *(n and slip(n) for n in names[i % len(names)])) for i in range(60)]
+    norm = similarity.normal_name
+    for least in (0.8, 0.9):
+        want = set()
+        for i, *x in left:
+            scored = []
+            for j, *y in right:
+                ratios = [similarity.block_ratio(norm(p), norm(q)) for p, q in zip(x, y, strict=True) if p is not None and q is not None]
+                if ratios and min(ratios) >= least:
+                    scored.append((-min(ratios), j))
+            want |= {(i, j) for _, j in sorted(scored)[:50]}
+        frames = [spark.createDataFrame(rows, "id int, artist string, title string") for rows in (left, right)]
+        got = similarity.fuzzy_best(frames[0], frames[1].withColumnRenamed("id", "other"), "id", "other", ["artist", "title"], least=least, k=50)
+        assert {(r.id, r.other) for r in got.collect()} == want and (least > 0.8 or (0, 100) in want)
