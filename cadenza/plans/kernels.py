@@ -142,6 +142,13 @@ def f1(spark: SparkSession, d: str) -> DataFrame:
     return n.select("word", similarity.fold_word_column(F.col("word")).alias("folded"))
 
 
+@query("f1_fold_all_words")
+def f1_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every word, of any script; the SQL of f1_fold_word can't fold those beyond the letters that it lists."""
+    n = table(spark, d, "notes").where("word is not null").select("word").distinct()
+    return n.select("word", similarity.fold_word_column(F.col("word")).alias("folded"))
+
+
 @query("f3_block_ratio")
 def f3(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "media_info").select("media_id", "artist", "title").distinct()

@@ -42,3 +42,10 @@ def test_fuzzy_best_is_the_brute_force(spark):
         frames = [spark.createDataFrame(rows, "id int, artist string, title string") for rows in (left, right)]
         got = similarity.fuzzy_best(frames[0], frames[1].withColumnRenamed("id", "other"), "id", "other", ["artist", "title"], least=least, k=50)
         assert {(r.id, r.other) for r in got.collect()} == want and (least > 0.8 or (0, 100) in want)
+
+
+def test_words_of_all_scripts_are_folded(spark, tmp_path):
+    want = {"Łódź ": "łodz", "ÅNGSTRÖM": "angstrom", "Привет, мир": "приветмир", "すし": "すし", "dîner": "diner", "it's": "its", "~": ""}
+    notes = [(1, w) for w in want] * 2 + [(2, None)]
+    d = write(spark, tmp_path, notes=(notes, "song_id long, word string"))
+    assert sorted((r.word, r.folded) for r in kernels.QUERIES["f1_fold_all_words"](spark, d).collect()) == sorted(want.items())
