@@ -167,6 +167,16 @@ def x2(spark: SparkSession, d: str) -> DataFrame:
     return J.union_distinct(a, b, F.concat(F.lower("band"), F.lit("\t"), F.lower("title")))
 
 
+@query("x2_union_all_fixes", """WITH a AS (SELECT DISTINCT band, title FROM genre_song_fixes), b AS (SELECT DISTINCT artist AS band, title FROM song_info),
+n AS (SELECT min({'band': band, 'title': title}) AS r FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE lower(a.band) || chr(9) || lower(a.title) = lower(b.band) || chr(9) || lower(b.title)) GROUP BY lower(band) || chr(9) || lower(title))
+SELECT band, title FROM a UNION ALL SELECT r.band, r.title FROM n""")
+def x2_all(spark: SparkSession, d: str) -> DataFrame:
+    """All fixes; x2_union_distinct takes those of even fix_id, as its SQL does."""
+    a = table(spark, d, "genre_song_fixes").select("band", "title").distinct()
+    b = table(spark, d, "song_info").select(F.col("artist").alias("band"), "title").distinct()
+    return J.union_distinct(a, b, F.concat(F.lower("band"), F.lit("\t"), F.lower("title")))
+
+
 @query("x3_overlap", "SELECT DISTINCT media_id FROM media_info WHERE list_has_any(string_split(lower(title), ' '), ['garden', 'river', 'lantern'])")
 def x3(spark: SparkSession, d: str) -> DataFrame:
     words = F.array(F.lit("garden"), F.lit("river"), F.lit("lantern"))
