@@ -120,7 +120,7 @@ def matched_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs with the agreement of their values and a calibrated confidence."""
-    return matched_songs(spark, sf_dir).select(F.col("left_id").alias("fix_id"), F.col("right_id").alias("media_id"), "agreement", "confidence")
+    return matched_songs(spark, sf_dir).select(F.col("left_id").alias("fix_id"), F.col("right_id").alias("media_id"), "agreement", "cosine", "confidence")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,22 +30,30 @@ def deletes(word: str, depth: int) -> set[str]:
 
 
 def osa(a: str, b: str, limit: int) -> int:
-    """Optimal string alignment distance (edits and swaps of neighbours), or limit + 1 if it is larger."""
+    """Optimal string alignment distance (edits and swaps of neighbours), or limit + 1 if it is larger.
+
+    Only the `limit` cells on either side of the diagonal can hold a distance
+    within it, so the cost is the length times the limit.
+    """
     if a == b:
         return 0
     if abs(len(a) - len(b)) > limit:
         return limit + 1
-    before, row = [], list(range(len(b) + 1))
+    far = limit + 1
+    before, row = {}, {j: j for j in range(min(len(b), limit) + 1)}
     for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            best = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, older[j - 2] + 1)
-            row[j] = best
-        if min(row) > limit and min(before) > limit:
-            return limit + 1
-    return min(row[-1], limit + 1)
+        older, before, row = before, row, {}
+        for j in range(max(0, i - limit), min(len(b), i + limit) + 1):
+            best = before.get(j, far) + 1
+            if j:
+                y = b[j - 1]
+                best = min(best, row.get(j - 1, far) + 1, before.get(j - 1, far) + (x != y))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    best = min(best, older.get(j - 2, far) + 1)
+            row[j] = min(best, far)
+        if min(row.values()) > limit and min(before.values(), default=far) > limit:
+            return far
+    return row.get(len(b), far)
 
 
 def weighted(a: str, b: str) -> float:
