@@ -66,7 +66,7 @@ def act_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [table(spark, sf_dir, t).select(F.col(c).alias("name"), F.col(title).alias("title")) for t, c, title in NAMED]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     bigrams = name_bigrams(both.select("name").unionAll(both.select("title")), "name")
-    return act_of_spellings(both, "name", bigrams)
+    return act_of_spellings(both, "name", bigrams, title="title")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

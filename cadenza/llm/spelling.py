@@ -75,3 +75,62 @@ def weighted(a: str, b: str) -> float:
             if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
                 d[i][j] = min(d[i][j], d[i - 2][j - 2] + 0.7)
     return d[n][m]
+
+
+#: Longer words meet by pieces instead of deletions, of which they would leave too many.
+LONG_WORD = 40
+
+
+def met_under(word: str, slips: int) -> list[str]:
+    """Keys of which two words share one if they are within `slips` edits or swaps of neighbours.
+
+    Words of up to LONG_WORD letters: what deletions leave. From LONG_WORD -
+    slips on also pieces: a word is cut into 2 slips + 1 of them, of which one
+    stays whole, as an edit touches one and a swap two at most. Both words give
+    their own pieces and those that another length or shift would have, marked
+    by which is which, so that own pieces meet others'.
+    """
+    keys = deletes(word, slips) if len(word) <= LONG_WORD else {word}
+    if slips and len(word) > LONG_WORD - slips:
+        count = 2 * slips + 1
+        for size in range(len(word) - slips, len(word) + slips + 1):
+            cuts = [size * i // count for i in range(count + 1)]
+            for i in range(count):
+                for at in range(max(0, cuts[i] - slips), min(cuts[i] + slips, len(word)) + 1):
+                    keys.add(f"{size}/{i}/{word[at : at + cuts[i + 1] - cuts[i]]}")
+    return sorted(keys)
+
+
+def assignment(cost: list[list[float]]) -> float:
+    """The least sum of a square table with one cell of each row and column (infinite cells can't be taken): successive shortest augmenting paths."""
+    n = len(cost)
+    infinite = float("inf")
+    of_row, of_column = [0.0] * n, [0.0] * (n + 1)
+    row_at = [-1] * (n + 1)  # the row that has each column; the last column starts each search
+    for row in range(n):
+        row_at[n], column = row, n
+        least, came, done = [infinite] * n, [n] * n, [False] * (n + 1)
+        while row_at[column] >= 0:
+            done[column] = True
+            r, step, following = row_at[column], infinite, -1
+            for j in range(n):
+                if done[j]:
+                    continue
+                reduced = cost[r][j] - of_row[r] - of_column[j]
+                if reduced < least[j]:
+                    least[j], came[j] = reduced, column
+                if least[j] < step:
+                    step, following = least[j], j
+            if following < 0:
+                return infinite
+            for j in range(n + 1):
+                if done[j]:
+                    of_row[row_at[j]] += step
+                    of_column[j] -= step
+                elif j < n:
+                    least[j] -= step
+            column = following
+        while column != n:
+            row_at[column] = row_at[came[column]]
+            column = came[column]
+    return sum(cost[row_at[j]][j] for j in range(n))
