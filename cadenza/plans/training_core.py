@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.operators.intervals import periods_and_gaps
 from cadenza.operators.packed import explode_packed
 from cadenza.session import table
-from cadenza.sources.delimited import loaded, parse_lines, rejected
+from cadenza.sources.delimited import files_of_lines, loaded, parse_files, parse_lines, rejected
 
 CELLS = ["band", "title", "genre", "note"]
 
@@ -58,6 +58,12 @@ def p6_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded(parsed_fixes(spark, sf_dir), CELLS, keep=["line_id"])
 
 
+def p6_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exports read as whole texts, in which record starts aren't known: each record or located error, and from where to where it goes."""
+    texts = files_of_lines(table(spark, sf_dir, "raw_fix_lines"), "file_name", "line_no", "raw")
+    return parse_files(texts, "text", CELLS, keep=["file_name", "first_line"]).select("file_name", "first_line", "start", "end", F.size("cells").alias("cells"), "reason", "error_at")
+
+
 def packed_genres(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
     names = [*vocabulary(spark, sf_dir), *SINGLE_VALUES]
     info = explode_packed(table(spark, sf_dir, "song_info").select("info_id", "genres").distinct(), "genres", names, keep=["info_id"], least=least)
@@ -71,7 +77,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_genres(spark, sf_dir, 2)
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_loaded": p6_loaded, "p7_found": p7_found}
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_loaded": p6_loaded, "p6_files": p6_files, "p7_found": p7_found}
 
 _SUNG = """
     SELECT 'notes' AS src, song_id AS ref_id, coalesce(voice, '') AS voice, beat::BIGINT AS s, beat::BIGINT + beat_length AS e FROM notes

@@ -1,8 +1,9 @@
 """Delimited text with rows that fail to parse.
 
 A recursive-descent grammar reads records of quoted and plain cells. After a
-broken quote it resumes at the next validated record start: a line from which
-one whole record can be read. Results are typed records and located errors.
+broken quote it resumes at the next validated record start: one that is known,
+or a line from which a whole record can be read. Results are typed records and
+located errors.
 
     text   := record (end record)*
     record := cell (SEPARATOR cell)*
@@ -14,8 +15,10 @@ one whole record can be read. Results are typed records and located errors.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,43 +48,59 @@ class Outcome:
 
 
 class Grammar:
-    """The grammar over one text; `lines`: a line break outside quotes ends a record."""
+    """The grammar over one text.
 
-    def __init__(self, text: str, width: int, *, separator: str = "\t", quote: str = '"', lines: bool = True):
-        self.text, self.width, self.separator, self.quote, self.lines = text, width, separator, quote, lines
-        self.stop = re.compile(f"[{re.escape(separator)}{chr(10) if lines else ''}]")
+    starts: where records are known to begin, each but the first after a line
+    break; a record then ends before the next of them and line breaks in it
+    are ordinary characters. Without them a line break outside quotes ends a
+    record, and record starts have to be found by reading.
+    """
+
+    def __init__(self, text: str, width: int, *, separator: str = "\t", quote: str = '"', starts: list[int] | None = None):
+        self.text, self.width, self.separator, self.quote, self.starts = text, width, separator, quote, starts
+        self.stop = re.compile(f"[{re.escape(separator)}{'' if starts else chr(10)}]")
+
+    def until(self, at: int) -> int:
+        """How far a record that begins at `at` can reach: to the line break before the next known start, else to the end of the text."""
+        if not self.starts:
+            return len(self.text)
+        following = bisect_right(self.starts, at)
+        return self.starts[following] - 1 if following < len(self.starts) else len(self.text)
 
     def record(self, at: int) -> tuple[list[str], int]:
         """The cells of the record at `at`, and where it ends."""
-        cells = []
+        cells, until = [], self.until(at)
         while True:
-            cell, at = self.quoted(at) if self.text.startswith(self.quote, at) else self.plain(at)
+            cell, at = self.quoted(at, until) if self.text.startswith(self.quote, at) and at < until else self.plain(at, until)
             cells.append(cell)
-            if not self.text.startswith(self.separator, at):
+            if at >= until or not self.text.startswith(self.separator, at):
                 return cells, at
             at += len(self.separator)
 
-    def quoted(self, start: int) -> tuple[str, int]:
+    def quoted(self, start: int, until: int) -> tuple[str, int]:
+        """A quoted cell; an error at its opening quote if it would run over the next record's start, else at what follows its closing quote."""
         at, parts = start + 1, []
-        while (end := self.text.find(self.quote, at)) >= 0:
+        while 0 <= (end := self.text.find(self.quote, at)) < until:
             parts.append(self.text[at:end])
             at = end + 1
-            if self.text.startswith(self.quote, at):
+            if at < until and self.text.startswith(self.quote, at):
                 parts.append(self.quote)
                 at += 1
-            elif at == len(self.text) or self.stop.match(self.text, at):
+            elif at == until or self.stop.match(self.text, at):
                 return "".join(parts), at
             else:
                 raise QuoteError(at)
         raise QuoteError(start)
 
-    def plain(self, at: int) -> tuple[str, int]:
-        found = self.stop.search(self.text, at)
-        end = found.start() if found else len(self.text)
+    def plain(self, at: int, until: int) -> tuple[str, int]:
+        found = self.stop.search(self.text, at, until)
+        end = found.start() if found else until
         return self.text[at:end], end
 
     def anchor(self, at: int) -> int:
-        """The next line from which a record of the right width can be read, else the end of the text."""
+        """Where reading goes on after a broken record at `at`: at the next known start; else at the next line from which a whole record of the right width can be read; else at the end of the text."""
+        if self.starts:
+            return min(self.until(at) + 1, len(self.text))
         while (end := self.text.find("\n", at)) >= 0:
             at = end + 1
             try:
@@ -91,21 +110,23 @@ class Grammar:
                 pass
         return len(self.text)
 
+    def outcome(self, at: int) -> Outcome:
+        """The record at `at`, or the error in its place and where reading resumes."""
+        try:
+            cells, end = self.record(at)
+        except QuoteError as broken:
+            return Outcome(at, self.anchor(at), None, "quoting", broken.at)
+        return Outcome(at, end, cells, None, None) if len(cells) == self.width else Outcome(at, end, cells, "columns", end)
+
     def records(self) -> Iterator[Outcome]:
+        if self.starts:  # each is a validated anchor, so errors skip none
+            yield from map(self.outcome, self.starts)
+            return
         at = 0
         while at < len(self.text) or at == 0:
-            try:
-                cells, end = self.record(at)
-            except QuoteError as broken:
-                resume = self.anchor(at) if self.lines else len(self.text)
-                yield Outcome(at, resume, None, "quoting", broken.at)
-                at = max(resume, 1)
-                continue
-            if len(cells) != self.width:
-                yield Outcome(at, end, cells, "columns", end)
-            else:
-                yield Outcome(at, end, cells, None, None)
-            at = end + 1
+            one = self.outcome(at)
+            yield one
+            at = max(one.end if one.reason == "quoting" else one.end + 1, at + 1)
 
 
 def value_reason(cells: Column, required: list[int], checked: list[int]) -> Column:
@@ -119,26 +140,28 @@ def value_reason(cells: Column, required: list[int], checked: list[int]) -> Colu
 
 
 def parse_lines(df: DataFrame, raw: str, names: list[str], *, required: list[str], checked: list[str], separator: str = "\t", quote: str = '"') -> DataFrame:
-    """`df` with one array column `cells`, a `reason` (null: loaded) and `error_at`, the offset of a syntax error.
+    """`df` with one array column `cells`, a `reason` (null: loaded) and `error_at`, the offset of a syntax error in the line.
 
     Each row of `raw` is one line of an export, in which a quoted cell may
     hold separators and line breaks. Reasons, the first that holds: `quoting`,
-    `columns`, `value`. A null line has the reason `columns` (no cells). Lines
-    without a quote need no grammar: they are split in the JVM, and only the
-    others travel to Python. Nothing is shuffled. Columns of `df` named like
-    the new ones are replaced.
+    `columns`, `value`. A null line has the reason `columns` (no cells). The
+    lines of a batch are read as one text: where a broken quote runs on into
+    the next lines, reading resumes at the next line, whose start is known.
+    Lines without a quote are only separated, which the JVM does; the others
+    travel to Python. Nothing is shuffled. Columns of `df` named like the new
+    ones are replaced.
     """
     width = len(names)
 
     @F.pandas_udf("cells array<string>, reason string, error_at int")
     def descend(lines: pd.Series) -> pd.DataFrame:
-        rows = []
-        for line in lines:
-            if line is None:
-                rows.append((None, None, None))
-                continue
-            one = next(Grammar(line, width, separator=separator, quote=quote, lines=False).records())
-            rows.append((one.cells, one.reason, one.error_at))
+        here = [(i, line) for i, line in enumerate(lines) if line is not None]
+        starts = list(accumulate((len(line) + 1 for _, line in here[:-1]), initial=0))
+        rows: list[tuple] = [(None, None, None)] * len(lines)
+        if here:
+            outcomes = Grammar("\n".join(line for _, line in here), width, separator=separator, quote=quote, starts=starts).records()
+            for (i, _), one in zip(here, outcomes, strict=True):
+                rows[i] = (one.cells, one.reason, None if one.error_at is None else one.error_at - one.start)
         return pd.DataFrame(rows, columns=["cells", "reason", "error_at"]).astype({"error_at": "Int32"})
 
     line = F.col(f"`{raw}`")
@@ -168,6 +191,14 @@ def rejected(parsed: DataFrame, *, keep: list[str]) -> DataFrame:
     return parsed.where(F.col("reason").isNotNull()).select(*keep, "reason", "error_at")
 
 
+def files_of_lines(df: DataFrame, file: str, line_no: str, raw: str, *, lines: int = 2000) -> DataFrame:
+    """(file, first_line, text): the lines of each file in order, as texts of `lines` lines at most, so that no file is collected whole. Null lines are empty; repeated line numbers follow each other."""
+    block = F.floor(F.col(line_no) / lines).alias("block")
+    line = F.struct(F.col(line_no).alias("n"), F.coalesce(raw, F.lit("")).alias("raw"))
+    read = df.groupBy(file, block).agg(F.array_sort(F.collect_list(line)).alias("of"))
+    return read.select(file, F.element_at("of", 1)["n"].alias("first_line"), F.array_join(F.transform("of", lambda x: x["raw"]), "\n").alias("text"))
+
+
 def parse_files(df: DataFrame, text: str, names: list[str], *, keep: list[str], separator: str = "\t", quote: str = '"') -> DataFrame:
     """The records of whole files: the `keep` columns, `start`, `end`, `cells`, `reason`, `error_at`.
 
