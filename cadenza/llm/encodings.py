@@ -1,10 +1,12 @@
 """Garbled text from wrong character encoding, found and restored.
 
 A hidden Markov model with one clean state and one state per encoding pair
-labels the characters of every token that holds more than ASCII. Emissions
+labels the characters of a value, in one decoding over all states. Emissions
 come from character bigrams of the corpus: the clean state emits the stored
-character, a pair's state the character that its inverse transform gives.
-Each labelled span then gets its state's inverse transform.
+character, a pair's state the character that its inverse transform gives, or
+the stored one where damage leaves it out. Transitions are weighed by how
+often each pair explains tokens of the corpus. Each labelled span then gets
+its state's inverse transform.
 """
 
 from __future__ import annotations
@@ -14,11 +16,14 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.session import checkpoint
+
 #: (what the text was, what it was read as, how often in a row). Fixed values.
 PAIRS = [
     ("utf-8", "cp1252", 1),
@@ -48,12 +53,12 @@ PAIRS = [
     ("cp866", "cp1251", 1),
 ]
 LOST = "�"
-#: Costs in nats: entering a pair whose true encoding has several bytes a character, and one of single bytes.
+#: Costs in nats before the corpus is seen: entering a pair whose true encoding has several bytes a character, and one of single bytes.
 ENTER_MULTI, ENTER_SINGLE = 4.0, 4.8
 #: A token's gain below this says nothing: small gains of genuine words must not add up in long texts.
 LEAST_GAIN = 1.0
-#: Cost of changing between clean and garbled within a token.
-SWITCH = 1.0
+#: Cost of changing between clean and garbled within a token, and from one pair to another anywhere.
+SWITCH, CHANGE = 1.0, 3.0
 #: Weight of the unigram in a bigram's estimate.
 BACKOFF = 4.0
 #: Words end at ASCII other than letters and digits, which no garbled sequence holds.
@@ -173,23 +178,32 @@ class Inverse:
         return any(got and _floor(got[0]) >= 1e-5 for got in units)
 
 
+@dataclass
+class Statistics:
+    """What the corpus says: counts of character pairs in clean tokens, and the share of tokens that each encoding pair explains."""
+
+    bigrams: dict[tuple[str, str], int]
+    shares: dict[int, float] = field(default_factory=dict)
+
+
 class Model:
     """Bigram probabilities of clean characters, and the Viterbi labelling with them."""
 
-    def __init__(self, bigrams: dict[tuple[str, str], int]):
+    def __init__(self, statistics: Statistics):
         self.inverse = Inverse(PAIRS)
         self.count, self.total = Counter(), Counter()
-        self.pair = bigrams
+        self.pair = statistics.bigrams
         self.kinds, self.kind_from, self.of_kind = Counter(), Counter(), Counter()
-        for (a, b), n in bigrams.items():
+        for (a, b), n in self.pair.items():
             self.count[b] += n
             self.total[a] += n
             self.kinds[_kind(a), _kind(b)] += n
             self.kind_from[_kind(a)] += n
             self.of_kind[_kind(b)] += n
-        self.cache: dict[str, dict[int, tuple[float, str]]] = {}
+        self.cache: dict[str, tuple[dict[int, float], dict[int, str]]] = {}
         self.logs: dict[tuple[str, str], float] = {}
-        self.enter = [ENTER_MULTI if true == "utf-8" else ENTER_SINGLE for true, _, _ in PAIRS]
+        first = [ENTER_MULTI if true == "utf-8" else ENTER_SINGLE for true, _, _ in PAIRS]
+        self.enter = [-math.log(min(1.0, math.exp(-cost) + statistics.shares.get(p, 0.0))) for p, cost in enumerate(first)]
 
     def log(self, before: str, c: str) -> float:
         key = before, c
@@ -204,24 +218,59 @@ class Model:
         among = (self.count[b] + _floor(c) * 1000) / (self.of_kind[kb] + 1.0)
         return math.log((self.pair.get((a, b), 0) + BACKOFF * follows * min(among, 1.0)) / (self.total[a] + BACKOFF))
 
-    def gains(self, token: str) -> dict[int, tuple[float, str]]:
-        """For each pair that can be in the token: by how much its path beats the clean one, in nats, and what it restores."""
+    def gains(self, token: str) -> tuple[dict[int, float], dict[int, str]]:
+        """For each pair that can be in the token: by how much a path through its state beats the clean one, in nats, and what it restores."""
         if token not in self.cache:
             if len(self.cache) > 200_000:
                 self.cache.clear()
             self.cache[token] = self._gains(token)
         return self.cache[token]
 
-    def _gains(self, token: str) -> dict[int, tuple[float, str]]:
+    def _gains(self, token: str) -> tuple[dict[int, float], dict[int, str]]:
         clean = sum(self.log(token[i - 1] if i else "", c) for i, c in enumerate(token))
-        out = {}
+        gain, text, units_of = {}, {}, {}
         for p in range(len(PAIRS)):
             units = {i: got for i, c in enumerate(token) if c > "\x7f" and (got := self.inverse(p, token, i))}
             if units:
+                units_of[p] = units
                 score, restored = self._viterbi(token, units)
                 if restored != token and score > clean + LEAST_GAIN:
-                    out[p] = score - clean, restored
-        return out
+                    gain[p], text[p] = score - clean, restored
+        if len(gain) > 1:  # spans of several pairs may explain more than any one
+            score, restored, used = self._mixed(token, {p: units_of[p] for p in gain})
+            if len(used) > 1 and score - clean > max(gain.values()):
+                for p in used:
+                    gain[p], text[p] = score - clean, restored
+        return gain, text
+
+    def _mixed(self, token: str, units_of: dict[int, dict[int, tuple[str, int]]]) -> tuple[float, str, set[int]]:
+        """The best path through the states of several pairs, and which of them it uses. A state is a pair and whether the last character was garbled."""
+        best: list[dict[tuple[int, bool], tuple]] = [{} for _ in range(len(token) + 1)]
+        best[0] = {(p, garbled): (0.0, "", 0, None, "") for p in units_of for garbled in (False, True)}
+        for i, c in enumerate(token):
+            if not best[i]:
+                continue
+            top = max(best[i], key=lambda s: best[i][s][0])
+            for p, units in units_of.items():
+                came = [((q, g), cost) for (q, g), cost in (((p, False), 0.0), ((p, True), 0.0), (top, CHANGE if top[0] != p else 0.0)) if (q, g) in best[i]]
+                for state, cost in came:
+                    score, before = best[i][state][:2]
+                    steps = [(i + 1, state[1] and c <= "\x7f", c, SWITCH if state[1] and c > "\x7f" else 0.0)]
+                    if i in units:
+                        steps.append((i + units[i][1], True, units[i][0], 0.0 if state[1] else SWITCH))
+                    for end, garbled, emitted, change in steps:
+                        total = score - cost - change + self.log(before, emitted)
+                        if (p, garbled) not in best[end] or total > best[end][p, garbled][0]:
+                            best[end][p, garbled] = (total, emitted, i, state, emitted)
+        state = max(best[-1], key=lambda s: best[-1][s][0])
+        total, out, used, at = best[-1][state][0], [], set(), len(token)
+        while at:
+            _, _, start, came, emitted = best[at][state]
+            if emitted != token[start:at]:
+                used.add(state[0])
+            out.append(emitted)
+            at, state = start, came
+        return total, "".join(reversed(out)), used
 
     def _viterbi(self, token: str, units: dict[int, tuple[str, int]]) -> tuple[float, str]:
         """The best path through the clean state (0) and one pair's (1); ASCII reads the same in both, so a span goes on across it."""
@@ -248,40 +297,52 @@ class Model:
             at, state = start, came
         return total, "".join(reversed(out))
 
-    def label(self, tokens: list[str]) -> dict[str, str]:
-        """The garbled ones among a value's tokens, with what they were.
+    def label(self, tokens: list[str]) -> list[str | None]:
+        """For each of a value's tokens in order, what it was if it is garbled, else None. A token that comes again is no new evidence and reads as at first.
 
-        A value pays once for a pair's state, however many tokens it labels:
-        damage runs through a value, so weak signs in many tokens add up.
+        One Viterbi decoding of the value: it begins in the clean state; a
+        pair's state is entered at the cost of its transition and kept at
+        none, as damage runs through a value and weak signs in many tokens
+        add up; CHANGE leads from pair to pair. Tokens that no pair explains
+        are as likely in every state, so they are passed over.
         """
-        known = {t: self.gains(t) for t in set(tokens)}
-        sums: Counter = Counter()
-        for of in known.values():
-            for p, (gain, _) in of.items():
-                sums[p] += gain
-        entered = [p for p, total in sums.items() if total > self.enter[p]]
-        out = {}
-        for t, of in known.items():
-            mine = [p for p in entered if p in of]
-            if mine:
-                out[t] = of[max(mine, key=lambda p: (of[p][0] + 0.05 * sums[p], -p))][1]
-            elif LOST in t:
-                out[t] = t
-        return out
+        out = {t: t if LOST in t else None for t in tokens}
+        told = [(t, *found) for t in out if (found := self.gains(t))[0]]
+        score, back = {None: 0.0}, []
+        for _, gain, _ in told:
+            top = max((s for s in score if s is not None), key=lambda s: (score[s], -s), default=None)
+            reached, came = {None: 0.0}, {None: None}
+            for p in {*gain, *score} - {None}:
+                ways = [(0.0 - self.enter[p], None)]
+                if p in score:
+                    ways.append((score[p], p))
+                if top is not None and top != p:
+                    ways.append((score[top] - CHANGE, top))
+                best, came[p] = max(ways, key=lambda w: w[0])
+                reached[p] = best + gain.get(p, 0.0)
+            back.append(came)
+            score = reached
+        state = max(score, key=lambda s: (score[s], s is None, -(s or 0)))
+        for (t, _, text), came in zip(reversed(told), reversed(back), strict=True):
+            if state in text:
+                out[t] = text[state]
+            state = came[state]
+        return [out[t] for t in tokens]
 
 
 def _tokens(value: Column) -> Column:
     return F.filter(F.split(value, BETWEEN, -1), lambda t: t.rlike(NOT_ASCII))
 
 
-def clean_bigrams(values: DataFrame, column: str) -> dict[tuple[str, str], int]:
-    """Counts of character pairs in the tokens that hold more than ASCII, over all rows.
+def clean_bigrams(values: DataFrame, column: str) -> Statistics:
+    """Counts of character pairs in the tokens that hold more than ASCII, and how often each encoding pair explains one, over all rows.
 
     Tokens are counted in the JVM before the shuffle; the driver gets pairs
-    of the model's alphabet (at most some 12,000 symbols, as large scripts
-    count as one symbol each), whatever the number of rows.
+    of the model's alphabet that occur (it has at most some 12,000 symbols, as
+    large scripts count as one symbol each), whatever the number of rows.
     """
-    tokens = values.where(F.col(column).rlike(NOT_ASCII)).select(F.explode(_tokens(F.col(column))).alias("token")).groupBy("token").count()
+    spark = values.sparkSession
+    tokens = checkpoint(values.where(F.col(column).rlike(NOT_ASCII)).select(F.explode(_tokens(F.col(column))).alias("token")).groupBy("token").count())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inverse, pairs = Inverse(PAIRS), Counter()
@@ -297,10 +358,25 @@ def clean_bigrams(values: DataFrame, column: str) -> dict[tuple[str, str], int]:
         yield pd.DataFrame([(a, b, n) for (a, b), n in pairs.items()], columns=["a", "b", "n"])
 
     rows = tokens.mapInPandas(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
-    return {(r.a, r.b): r.n for r in rows}
+    seen = Statistics({(r.a, r.b): r.n for r in rows})
+    shared = spark.sparkContext.broadcast(seen)
+
+    def explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, by = Model(shared.value), Counter()
+        for batch in batches:
+            for token, n in zip(batch["token"], batch["count"], strict=True):
+                gain, _ = model.gains(token)
+                if gain and max(gain[p] - model.enter[p] for p in gain) > 0:
+                    by[max(gain, key=lambda p: (gain[p] - model.enter[p], -p))] += n
+                by[-1] += n
+        yield pd.DataFrame(list(by.items()), columns=["pair", "n"])
+
+    by = {r.pair: r.n for r in tokens.mapInPandas(explained, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    seen.shares = {p: n / by[-1] for p, n in by.items() if p >= 0}
+    return seen
 
 
-def restore(values: DataFrame, column: str, bigrams: dict[tuple[str, str], int]) -> DataFrame:
+def restore(values: DataFrame, column: str, statistics: Statistics) -> DataFrame:
     """`values` with `restored` (text as it was meant, as far as possible) and `garbled` (whether it held wrongly decoded characters).
 
     A null stays null and isn't garbled; U+FFFD is garbled but can't be
@@ -308,18 +384,29 @@ def restore(values: DataFrame, column: str, bigrams: dict[tuple[str, str], int])
     left alone. Whole values are read. Columns named restored or garbled are
     replaced. ASCII values never leave the JVM.
     """
+    shared = values.sparkSession.sparkContext.broadcast(statistics)
 
     @F.pandas_udf("restored string, garbled boolean")
-    def fix(texts: pd.Series) -> pd.DataFrame:
-        model, rows = Model(bigrams), []
-        word = re.compile(WORD)
-        for text in texts:
-            if text is None or text.isascii():
-                rows.append((text, False))
-                continue
-            damaged = model.label([t for t in word.findall(text) if not t.isascii()])
-            rows.append((word.sub(lambda m: damaged.get(m[0], m[0]), text) if damaged else text, bool(damaged)))
-        return pd.DataFrame(rows, columns=["restored", "garbled"])
+    def fix(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model, word = Model(shared.value), re.compile(WORD)
+        for texts in batches:
+            rows = []
+            for text in texts:
+                if text is None or text.isascii():
+                    rows.append((text, False))
+                    continue
+                labels = iter(model.label([t for t in word.findall(text) if not t.isascii()]))
+                found = []
+
+                def restored(m: "re.Match[str]", labels: Iterator = labels, found: list = found) -> str:
+                    was = None if m[0].isascii() else next(labels)
+                    if was is None:
+                        return m[0]
+                    found.append(was)
+                    return was
+
+                rows.append((word.sub(restored, text), bool(found)))
+            yield pd.DataFrame(rows, columns=["restored", "garbled"])
 
     foreign = F.col(column).rlike(NOT_ASCII)
     return (

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm.encodings import clean_bigrams, restore
+from cadenza.llm.encodings import PAIRS, Statistics, clean_bigrams, restore
 
 CLEAN = ["Jürgen tanzt über die Straße", "früh höher schön Glück für Mädchen", "Conceição não então coração são João", "CONCEIÇÃO JOÃO SÃO", "canción mañana corazón señal niño", "été âme forêt fenêtre cœur Noël", "Małgorzata świat księżyc żółte", "Группа песня дорога снова ночь любовь", "L’été – “nuit”", "50 € for £ 3", "°C or °F?", "Âme Ñandú Đêm № 5", "そらずっとかぜ"]
 
@@ -44,5 +44,21 @@ def test_genuine_text_is_left_alone(spark, bigrams):
 
 def test_empty(spark, bigrams):
     empty = spark.createDataFrame([], "v string")
-    assert clean_bigrams(empty, "v") == {} and restore(empty, "v", {}).count() == 0
-    assert restore(spark.createDataFrame([("für",)], "v string"), "v", {}).where(F.col("garbled")).count() == 0
+    none = clean_bigrams(empty, "v")
+    assert none == Statistics({}) and restore(empty, "v", none).count() == 0
+    assert restore(spark.createDataFrame([("für",)], "v string"), "v", none).where(F.col("garbled")).count() == 0
+
+
+def test_two_pairs_in_one_value_and_in_one_token(spark, bigrams):
+    """One decoding over all states: each span gets the inverse transform of its own pair."""
+    utf8, mac = "für Jürgen über".encode().decode("cp1252"), "schön Glück".encode("cp1252").decode("mac-roman")
+    mixed = "Mädchen".encode().decode("cp1252") + "Straße".encode("cp1252").decode("mac-roman")
+    got = fixed(spark, bigrams, [f"{utf8} {mac}", f"{utf8} {mixed} {mac}"])
+    assert got[0] == ("für Jürgen über schön Glück", True)
+    assert got[1] == ("für Jürgen über MädchenStraße schön Glück", True)
+
+
+def test_shares_make_frequent_damage_cheaper(spark):
+    df = spark.createDataFrame([(t,) for t in CLEAN * 4] + [(t.encode().decode("mac-roman"),) for t in CLEAN[:6] * 3], "v string")
+    shares = clean_bigrams(df, "v").shares
+    assert max(shares, key=shares.get) == PAIRS.index(("utf-8", "mac-roman", 1)) and 0 < sum(shares.values()) < 1
