@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -94,30 +95,35 @@ class Dictionary:
         return 0, None
 
 
-def map_to_reference(values: DataFrame, value: str, reference: DataFrame, ref_id: str, ref_name: str, *, aliases: dict[str, str], most_entries: int = 200_000) -> DataFrame:
+def map_to_reference(values: DataFrame, value: str, reference: DataFrame, ref_id: str, ref_name: str, *, aliases: dict[str, str], most_keys: int = 2_000_000) -> DataFrame:
     """Each distinct value once: `typed`, `n` (rows with it), `ref_id` (0: none), `distance` (null: none).
 
     Nulls and blank values are left out. Case, accents, blanks, hyphens and
     punctuation make no difference; what is left may differ by one slip from
     four letters on, by two from nine on. Ties go to the smaller weighted
     distance, then to the entry that occurs more often as such among the
-    values, then to the smaller id. The reference list goes to every task,
-    so its size is checked against `most_entries`; values are only counted
-    (combined before the shuffle), whatever their number. An empty reference
-    list maps everything to 0.
+    values, then to the smaller id. The symmetric-delete dictionary is built
+    once and broadcast; the keys that the list's names would leave are counted
+    before anything is collected and may be `most_keys`, some 200 MB. Values
+    are only counted (combined before the shuffle), whatever their number. An
+    empty reference list maps everything to 0.
     """
-    entries = reference.select(ref_id, ref_name).where(F.col(ref_name).isNotNull()).limit(most_entries + 1).collect()
-    if len(entries) > most_entries:
-        raise ValueError(f"the reference list has more than {most_entries} entries, too many to send to every task")
+    spark = values.sparkSession
+    named = reference.select(ref_id, ref_name).where(F.col(ref_name).isNotNull())
+    letters = F.length(ref_name)
+    keys = named.agg(F.sum(1 + letters + letters * (letters - 1) / 2).alias("n")).first()["n"] or 0
+    if keys > most_keys:
+        raise ValueError(f"the reference list would leave {keys:.0f} keys, more than the {most_keys} that may be sent to every task")
+    entries = named.collect()
     spellings = values.select(F.col(value).alias("typed")).where(F.col(value).rlike(r"[^\s\p{Z}]")).groupBy("typed").agg(F.count(F.lit(1)).alias("n"))
-    plainly = F.broadcast(reference.select(F.col(ref_id).alias("ref_id"), F.lower(ref_name).alias("__name")))
+    plainly = F.broadcast(named.select(F.col(ref_id).alias("ref_id"), F.lower(ref_name).alias("__name")))  # not more than the keys checked above
     frequency = {r.ref_id: r.n for r in spellings.join(plainly, F.lower("typed") == F.col("__name")).groupBy("ref_id").agg(F.sum("n").alias("n")).collect()}
-    listed = [(r[0], r[1], frequency.get(r[0], 0)) for r in entries]
-    shared = values.sparkSession.sparkContext.broadcast(listed)
+    shared = spark.sparkContext.broadcast(Dictionary([(r[0], r[1], frequency.get(r[0], 0)) for r in entries], aliases))
 
     @F.pandas_udf("ref_id int, distance double")
-    def look_up(typed: pd.Series) -> pd.DataFrame:
-        dictionary = Dictionary(shared.value, aliases)
-        return pd.DataFrame([dictionary.find(t) for t in typed], columns=["ref_id", "distance"])
+    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        dictionary = shared.value
+        for typed in batches:
+            yield pd.DataFrame([dictionary.find(t) for t in typed], columns=["ref_id", "distance"])
 
     return spellings.withColumn("__found", look_up("typed")).select("typed", "n", "__found.ref_id", "__found.distance")

@@ -1,8 +1,12 @@
+import itertools
+import random
+
 import pytest
 
 from cadenza.llm.canonical import GENRE_ALIASES, Dictionary, map_to_reference
-from cadenza.llm.names import act_of_spellings, alignment, name_bigrams, same_act_pairs
-from cadenza.llm.spelling import deletes, osa, weighted
+from cadenza.llm.encodings import Statistics
+from cadenza.llm.names import act_of_spellings, alignment, alignment_cost, name_bigrams, same_act_pairs
+from cadenza.llm.spelling import assignment, deletes, met_under, osa, weighted
 
 ACTS = [
     ["Jürgen Tihamojo", "Juergen Tihamojo", "Tihamojo, Jürgen", "J. Tihamojo", "JÜRGEN TIHAMOJO", "jürgen tihamoojo", "JürgenT ihamojo", "JÃ¼rgen Tihamojo"],
@@ -27,13 +31,13 @@ def test_variants_and_different_acts(spark):
 
 def test_ambiguous_initial_is_left_alone(spark):
     df = spark.createDataFrame([("Dolores Zimabas",), ("Dora Zimabas",), ("Dietmar Zimabas",), ("D. Zimabas",)], "name string")
-    acts = {r.spelling: r.entity for r in act_of_spellings(df, "name", {}).collect()}
+    acts = {r.spelling: r.entity for r in act_of_spellings(df, "name", Statistics({})).collect()}
     assert len({acts[n] for n in ("Dolores Zimabas", "Dietmar Zimabas", "D. Zimabas")}) == 3
 
 
 def test_no_names(spark):
     df = spark.createDataFrame([], "name string")
-    assert same_act_pairs(act_of_spellings(df, "name", {})).count() == 0
+    assert same_act_pairs(act_of_spellings(df, "name", Statistics({}))).count() == 0
 
 
 def test_alignment_is_optimal():
@@ -66,4 +70,48 @@ def test_mapping_ties_and_limits(spark):
     df = spark.createDataFrame([("Rock",)], "v string")
     assert [r.ref_id for r in map_to_reference(df, "v", empty, "id", "name", aliases={}).collect()] == [0]
     with pytest.raises(ValueError):
-        map_to_reference(df, "v", spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string"), "id", "name", aliases={}, most_entries=1)
+        map_to_reference(df, "v", spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string"), "id", "name", aliases={}, most_keys=3)
+
+
+def test_short_names_are_learned_from_titles(spark):
+    """Tokens that take each other's place under one title before three different surnames are one name; twice says nothing, and neither does a surname that many share."""
+    surnames = ["zapamadason", "tihamojo", "drudobrebra", "stojidridro"]
+    rows = [(f"{given} {s}", f"song {k}") for k, s in enumerate(surnames[:3]) for given in ("Wolfgang", "Wuffi")]
+    rows += [(f"{given} {s}", f"tune {k}") for k, s in enumerate(surnames[:2]) for given in ("Annabel", "Ottokar")] + [("Wuffi Stojidridro", "other"), ("Wolfgang Stojidridro", "another")]
+    df = spark.createDataFrame([*rows, (None, "x"), ("Lone Name", None)], "name string, title string")
+    acts = {r.spelling: r.entity for r in act_of_spellings(df, "name", Statistics({}), title="title", nicknames={}).collect()}
+    assert acts["Wuffi Stojidridro"] == acts["Wolfgang Stojidridro"] and acts["Annabel tihamojo"] != acts["Ottokar tihamojo"]
+    plain = {r.spelling: r.entity for r in act_of_spellings(df, "name", Statistics({}), nicknames={}).collect()}
+    assert plain["Wuffi Stojidridro"] != plain["Wolfgang Stojidridro"] and set(plain) == set(acts)
+
+
+def test_names_of_any_length(spark):
+    long = "a" + "bcdefghijk" * 6
+    many = " ".join(f"token{c}" for c in "abcdefghijklmnop")
+    names = [long, long[:30] + "x" + long[30:], many, " ".join(reversed(many.split())), many.replace("tokena", "t."), "Kate Bush", "K. Bush"]
+    df = spark.createDataFrame([(n,) for n in names for _ in range(2 if n in (long, many) else 1)], "name string")
+    acts = {r.spelling: r.entity for r in act_of_spellings(df, "name", Statistics({})).collect()}
+    assert len({acts[n] for n in names[:2]}) == 1 and len({acts[n] for n in names[2:4]}) == 1 and acts["Kate Bush"] == acts["K. Bush"]
+
+
+def test_long_words_share_a_key():
+    rng = random.Random(6)
+    for _ in range(1500):
+        word = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(34, 60)))
+        other = list(word)
+        for _ in range(rng.randint(1, 2)):
+            at = rng.randrange(len(other) - 1)
+            other[at : at + 2] = rng.choice([[other[at + 1], other[at]], [other[at]], [other[at], "x", other[at + 1]], ["y", other[at + 1]]])
+        if osa(word, "".join(other), 2) <= 2:
+            assert set(met_under(word, 2)) & set(met_under("".join(other), 2))
+
+
+def test_assignment_is_optimal():
+    rng = random.Random(2)
+    for _ in range(500):
+        n = rng.randint(1, 6)
+        cost = [[float("inf") if rng.random() < 0.3 else rng.choice([0, 0.2, 0.3, 0.5]) for _ in range(n)] for _ in range(n)]
+        best = min(sum(cost[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+        assert assignment(cost) == pytest.approx(best)
+    many = tuple(f"token{i}" for i in range(30))
+    assert alignment(many, (*many[:-1], "t")) == 0.5 and alignment_cost(many, ("tokne0", *many[1:])) == pytest.approx(0.2)
