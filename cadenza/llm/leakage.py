@@ -1,19 +1,22 @@
 """Evaluation texts leaking into training text.
 
 Latent semantic retrieval: passages of documents and items are TF-IDF vectors
-over word pairs, a distributed randomised SVD gives the latent space, and a
-passage's cosine to every item passage gives candidates. Each candidate pair
-of document and item is then checked by longest common subsequences: stretches
-of the item's words in order, over small changes. Whole texts are read.
+over word pairs, a distributed randomised SVD gives the latent space, and
+passages of a high cosine, found by a hyperplane index over the items', give
+candidates. Each candidate pair of document and item is then checked by
+longest common subsequences: stretches of the item's words in order, over
+small changes, of the item and of the question it ends with. Whole texts are
+read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.readability import sung_text
+from cadenza.llm.sums import STRIPE, matrix_sum, striped
 from cadenza.session import checkpoint
 
 #: Word pairs share this many columns of the TF-IDF matrix, which bounds the model.
@@ -112,33 +116,29 @@ def _batched(frames: Iterator[pd.DataFrame], words: str, size: int = 400) -> Ite
             yield part, [np.frombuffer(b, np.int32) for b in part[words]]
 
 
-def _packed(matrix: np.ndarray, rows: int) -> pd.DataFrame:
-    return pd.DataFrame([(i, matrix[i : i + rows].astype(np.float32).tobytes()) for i in range(0, len(matrix), rows)], columns=["at", "sums"])
+def _summed(numbered: DataFrame, of_task: Callable[[Iterator[list[np.ndarray]]], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of the matrices that `of_task` makes of the documents' words, in as many tasks as there are cores, however many partitions there are."""
+    context = numbered.sparkSession.sparkContext
+    tasks = max(1, min(numbered.rdd.getNumPartitions(), context.defaultParallelism))
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from striped(of_task(docs for _, docs in _batched(frames, "words")))
 
-def _added(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(b, np.float32) for b in group["sums"]], axis=0, dtype=np.float64)
-    return pd.DataFrame({"at": [group["at"].iloc[0]], "sums": [total.astype(np.float32).tobytes()]})
-
-
-def _matrix_sum(parts: DataFrame, width: int) -> np.ndarray:
-    """The sum of the tasks' matrices, added up by stripes in parallel."""
-    stripes = parts.groupBy("at").applyInPandas(_added, "at int, sums binary").collect()
-    return np.concatenate([np.frombuffer(r.sums, np.float32).reshape(-1, width) for r in sorted(stripes, key=lambda r: r.at)])
+    return matrix_sum(numbered.select("words").coalesce(tasks).mapInPandas(run, STRIPE), shape, tasks)[0]
 
 
 def inverse_frequency(numbered: DataFrame) -> np.ndarray:
     """IDF by column over all documents; a pair counts each time, as it hardly ever comes twice in a block."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((COLUMNS + 1, 1))
-        for _, docs in _batched(frames, "words"):
+    def count(batches: Iterator[list[np.ndarray]]) -> np.ndarray:
+        total = np.zeros(COLUMNS + 1)
+        for docs in batches:
             b = Blocks(docs)
-            total[:COLUMNS, 0] += np.bincount(b.column, minlength=COLUMNS + 1)[:COLUMNS]
-            total[COLUMNS, 0] += len(b.doc)
-        yield _packed(total, COLUMNS + 1)
+            total[:COLUMNS] += np.bincount(b.column, minlength=COLUMNS + 1)[:COLUMNS]
+            total[COLUMNS] += len(b.doc)
+        return total
 
-    total = _matrix_sum(numbered.select("words").mapInPandas(count, "at int, sums binary"), 1)[:, 0]
+    total = _summed(numbered, count, (COLUMNS + 1,))
     return np.maximum(np.log((total[COLUMNS] + 1) / (total[:COLUMNS] + 1)), 0.0).astype(np.float32)
 
 
@@ -158,16 +158,16 @@ def latent_space(numbered: DataFrame, idf: np.ndarray) -> np.ndarray:
     spark = numbered.sparkSession
     shared = spark.sparkContext.broadcast(_with_zero(random * idf[:, None]))
 
-    def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[list[np.ndarray]]) -> np.ndarray:
         total = np.zeros((width, COLUMNS + 1))
-        for _, docs in _batched(frames, "words"):
+        for docs in batches:
             b = Blocks(docs)
             if len(b.doc):
                 b.spread(b.sums(shared.value), total)
-        total = np.ascontiguousarray(total.T[:COLUMNS])
-        yield _packed(total, COLUMNS // 16)
+        return np.ascontiguousarray(total.T[:COLUMNS])
 
-    y = _matrix_sum(numbered.select("words").mapInPandas(sketch, "at int, sums binary"), width).astype(np.float64) * idf[:, None]
+    y = _summed(numbered, sketch, (COLUMNS, width)) * idf[:, None]
+    shared.destroy()
     core = random.T.astype(np.float64) @ y
     core = (core + core.T) / 2 + np.eye(width) * (1e-6 * np.trace(core) / width + 1e-12)
     values, vectors = np.linalg.eigh(core)
@@ -180,11 +180,56 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
 
 
+class Probes:
+    """Multi-table hyperplane hashing of the items' passages: which of them may be as near to a document's as `least_cosine`.
+
+    Bits grow with the number of probes, so that a bucket holds a fraction of
+    one whatever their number, and tables are what finds a pair of exactly
+    that cosine with `target_recall`; nearer pairs are missed far more rarely.
+    """
+
+    def __init__(self, vectors: np.ndarray, owners: np.ndarray, least_cosine: float, target_recall: float):
+        self.vectors, self.owners, self.least = vectors, owners, least_cosine
+        self.bits = max(6, math.ceil(math.log2(max(2, len(vectors)))) + 1)
+        alike = min(1 - 1e-9, 1 - math.acos(max(0.0, least_cosine)) / math.pi)  # how often a plane leaves both on one side
+        self.tables = max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - alike**self.bits)))
+        self.planes = np.random.RandomState(SEED + 1).standard_normal((vectors.shape[1], self.tables * self.bits)).astype(np.float32)
+        places = self.places(vectors).ravel()
+        order = np.argsort(places, kind="stable")
+        self.probe = (order // self.tables).astype(np.int32)
+        counts = np.bincount(places, minlength=self.tables << self.bits)
+        self.first = (np.cumsum(counts) - counts).astype(np.int32)
+        self.count = counts.astype(np.int32)
+
+    def places(self, vectors: np.ndarray) -> np.ndarray:
+        """A vector's bucket in each table, numbered through the tables."""
+        signs = np.packbits((vectors @ self.planes > 0).reshape(len(vectors), self.tables, self.bits), axis=2, bitorder="little")
+        buckets = signs[..., 0].astype(np.int32)
+        for k in range(1, signs.shape[2]):
+            buckets |= signs[..., k].astype(np.int32) << (8 * k)
+        return buckets + (np.arange(self.tables, dtype=np.int32) << self.bits)
+
+    def near(self, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The (passage, item) pairs of an exact cosine of at least the least, some more than once."""
+        if not len(self.vectors) or not len(passages):
+            return np.zeros(0, int), np.zeros(0, int)
+        places = self.places(passages)
+        used = np.flatnonzero(self.count[places])
+        places = places.ravel()[used]
+        n = self.count[places]
+        row = np.repeat(used // self.tables, n)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        probe = self.probe[np.repeat(self.first[places], n) + inside]
+        close = np.concatenate([np.einsum("nd,nd->n", passages[row[at : at + 8192]], self.vectors[probe[at : at + 8192]]) >= self.least for at in range(0, len(row), 8192)] or [np.zeros(0, bool)])
+        return row[close], self.owners[probe[close]]
+
+
 class Item:
-    """An item's words and where its pairs are."""
+    """An item's words, where its pairs are, and where the question that it ends with begins (its size: none)."""
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, words: np.ndarray, asked_from: int | None = None):
         self.size = len(words)
+        self.asked_from = self.size if asked_from is None else asked_from
         self.at: dict[int, list[int]] = defaultdict(list)
         for i, p in enumerate(pairs(words).tolist() if len(words) > 1 else []):
             self.at[p].append(i)
@@ -214,13 +259,15 @@ class Shared:
         return np.bincount(np.repeat(b.owner[at], n) * self.items + items, minlength=size)
 
 
-def covered(item: Item, document_pairs: list[int], *, gap: int = 2, density: float = 0.7, loose: int = 10, strict: int = 8) -> float:
-    """The share of the item's words in stretches that the document holds in order.
+def held_words(item: Item, document_pairs: list[int], *, gap: int = 2, density: float = 0.7, loose: int = 10, strict: int = 8) -> np.ndarray:
+    """Which of the item's words are in stretches that the document holds in order.
 
     A stretch is a chain of common word runs, at most `gap` other words apart
     on either side (changed, left out, added or split words), of which at
     least `density` are the same: either `strict` words in one run, or
-    `loose` words in all, as short runs of set phrases meet by chance.
+    `loose` words in all, as short runs of set phrases meet by chance. Runs
+    come in the document's order, so a chain that ends more than `gap` words
+    before one is out of reach of all that follow.
     """
     runs, open_run = [], {}
     for j, p in enumerate(document_pairs):
@@ -237,7 +284,10 @@ def covered(item: Item, document_pairs: list[int], *, gap: int = 2, density: flo
     for low, high, shift in runs:
         same, start, longest = high - low, low, high - low
         for step in range(-gap, gap + 1):
-            for from_i, to_i, n, began, most in tails[shift + step][-3:]:
+            if shift + step not in tails:
+                continue
+            near = tails[shift + step] = [t for t in tails[shift + step] if low - t[1] - step <= gap]
+            for from_i, to_i, n, began, most in near:
                 apart = max(low - to_i, low - to_i - step)
                 overlap = max(0, to_i - low, to_i - low + step)
                 if from_i < low and apart <= gap and overlap <= gap and overlap < high - low and n + high - low - overlap > same:
@@ -245,21 +295,31 @@ def covered(item: Item, document_pairs: list[int], *, gap: int = 2, density: flo
         tails[shift].append((low, high, same, start, longest))
         if same >= density * (high - start) and (same >= loose or longest >= strict):
             held[start:high] = True
-    return float(held.mean()) if item.size else 0.0
+    return held
+
+
+QUESTION = re.compile(r"[^.!?…]*[?？]\s*$")
 
 
-def leaked(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least_share: float = 0.4, least_cosine: float = 0.85, most_items: int = 20_000) -> DataFrame:
-    """(doc_id, item_id, share): the documents that hold at least `least_share` of an item's words in stretches.
+def leaked(
+    documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least_share: float = 0.4, least_cosine: float = 0.85, target_recall: float = 0.9, most_letters: int = 5_000_000
+) -> DataFrame:
+    """(doc_id, item_id, share, asked): the documents that hold at least `least_share` of an item's words in stretches.
 
-    Items go to every task, so their number is checked against `most_items`;
-    every document is searched against all of them. A candidate is a document
-    with a passage whose latent cosine to a passage of the item is at least
-    `least_cosine`; nothing else limits candidates. Null and empty texts match
-    nothing; repeated rows give repeated results; other columns are ignored.
+    asked: the share of the words of the question at the item's end that are
+    in such stretches, the check for items whose passage and question leaked
+    together; null for an item without one. Items go to every task, so their
+    texts' letters are counted first and may be `most_letters`. A candidate is
+    a document with a passage whose latent cosine to a passage of the item is
+    at least `least_cosine`, found by a hyperplane index; nothing else limits
+    candidates. Null and empty texts match nothing; repeated rows give
+    repeated results; other columns are ignored.
     """
-    rows = items.select(item_id, text).where(F.col(text).isNotNull()).limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError(f"more than {most_items} items")
+    wanted = items.select(item_id, text).where(F.col(text).isNotNull())
+    letters = wanted.agg(F.sum(F.length(text) + 1).alias("n")).first()["n"] or 0
+    if letters > most_letters:
+        raise ValueError(f"the items have {letters} letters, more than the {most_letters} that may be sent to every task")
+    rows = wanted.collect()
     spark = documents.sparkSession
     kinds = {c: f.dataType.simpleString() for c, f in ((doc_id, documents.schema[doc_id]), (item_id, items.schema[item_id]))}
 
@@ -273,6 +333,7 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", it
     idf = inverse_frequency(numbered)
     space = latent_space(numbered, idf)
     words = words_of([r[1] for r in rows]) if rows else []
+    before = words_of([QUESTION.sub("", r[1]) for r in rows]) if rows else []
     ids = [r[0] for r in rows]
     vectors, owners = [], []
     for k, w in enumerate(words):
@@ -281,11 +342,11 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", it
             if len(part := p[at : at + 2 * BLOCK]):
                 vectors.append(space[part].sum(0))
                 owners.append(k)
-    shared = spark.sparkContext.broadcast((_with_zero(space), _unit(np.array(vectors, np.float32).reshape(-1, space.shape[1])), np.array(owners, int), words, ids))
+    probes = Probes(_unit(np.array(vectors, np.float32).reshape(-1, space.shape[1])), np.array(owners, int), least_cosine, target_recall)
+    shared = spark.sparkContext.broadcast((_with_zero(space), probes, [Item(w, min(len(b), len(w))) for w, b in zip(words, before, strict=True)], ids))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        space, probes, owners, words, ids = shared.value
-        known = [Item(w) for w in words]
+        space, probes, known, ids = shared.value
         common = Shared(known)
         least = np.array([0.35 * least_share * item.size for item in known])
         for part, docs in _batched(frames, "words"):
@@ -293,9 +354,9 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", it
             passage, of = b.passages(b.sums(space))
             passage = _unit(passage)
             found = np.zeros(len(docs) * len(known), bool)
-            for at in range(0, len(passage), 1024):
-                d, k = divmod(np.flatnonzero((passage[at : at + 1024] @ probes.T).ravel() >= least_cosine), max(1, len(probes)))
-                found[of[at + d] * len(known) + owners[k]] = True
+            for at in range(0, len(passage), 4096):
+                row, item = probes.near(passage[at : at + 4096])
+                found[of[at + row] * len(known) + item] = True
             # Stretches are dense in common runs of two words or more, so fewer common pairs than this reach no such share.
             hits = common.hits(b, len(docs)) if found.any() else found
             out, last, of_doc = [], -1, []
@@ -303,10 +364,11 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", it
                 d, k = divmod(code, len(known))
                 if d != last:
                     last, of_doc = d, pairs(docs[d]).tolist()
-                share = covered(known[k], of_doc)
-                if share >= least_share:
-                    out.append((part[doc_id].iloc[d], ids[k], share))
+                held = held_words(known[k], of_doc)
+                if len(held) and held.mean() >= least_share:
+                    question = held[known[k].asked_from :]
+                    out.append((part[doc_id].iloc[d], ids[k], float(held.mean()), float(question.mean()) if len(question) else None))
             if out:
-                yield pd.DataFrame(out, columns=[doc_id, item_id, "share"])
+                yield pd.DataFrame(out, columns=[doc_id, item_id, "share", "asked"])
 
-    return numbered.mapInPandas(search, f"`{doc_id}` {kinds[doc_id]}, `{item_id}` {kinds[item_id]}, share double")
+    return numbered.mapInPandas(search, f"`{doc_id}` {kinds[doc_id]}, `{item_id}` {kinds[item_id]}, share double, asked double")
