@@ -31,21 +31,26 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-def token_counts(documents: DataFrame, keep: list[str], text: str, tokenizer: str | None = None) -> DataFrame:
+def token_counts(documents: DataFrame, keep: list[str], text: str, tokenizer: str | None = None, pattern: str | None = None) -> DataFrame:
     """The `keep` columns and `tokens`, the text's length in tokens; 0 for a null text. Whole texts are counted, in one pass.
 
-    tokenizer: the path of a tiktoken rank file, which executors must be able to read.
+    tokenizer: the path of a tiktoken rank file, which only the driver reads;
+    pattern: how it splits texts (by default as the installed vocabulary does).
+    The ranks are broadcast, so executors need neither file nor package.
     """
-    path = tokenizer or default_tokenizer()
+    if pattern is None:
+        import public_tokenizers
+
+        pattern = public_tokenizers.PATTERN
+    with open(tokenizer or default_tokenizer(), "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast((pattern, {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}))
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        pattern, ranks = shared.value
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for texts in batches:
             yield pd.Series([len(encoding.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
@@ -159,7 +164,10 @@ def mix(documents: DataFrame, targets: DataFrame, *, doc_id: str, members: str,
     sums = sized.where("pattern is not null and pattern <> ''").groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    goals = {r.source_name: (r.target_share or 0.0, r.max_repeats or 0) for r in targets.collect()}
+    wanted = targets.select("source_name", "target_share", "max_repeats").limit(MOST_PATTERNS + 1).collect()
+    if len(wanted) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} targets")
+    goals = {r.source_name: (r.target_share or 0.0, r.max_repeats or 0) for r in wanted}
     _, _, flow = plan({tuple(r.pattern.split(SEPARATOR)): r.tokens for r in sums}, goals, total)
     # Each use of a pattern's documents is cut into stretches of their seeded order, one for each source it serves.
     stretches, reached = [], defaultdict(int)

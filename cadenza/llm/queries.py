@@ -95,8 +95,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(spark, sf_dir)[1]
 
 
+def p9_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture with each different text once, which may count for any of the sources that it comes from."""
+    sized = token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source", F.sha2("text", 256).alias("copy")], "text")
+    once = sized.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_set("source")).alias("members"), F.first("tokens").alias("tokens"))
+    return mix(once.drop("copy"), table(spark, sf_dir, "mix_targets"), doc_id="doc_id", members="members")[0]
+
+
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents concerned, the items in them, and the share of the item's words."""
+    """The documents concerned, the items in them, the share of the item's words, and that of the question's."""
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
@@ -127,5 +134,5 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_matches(spark, sf_dir).select("fix_id", "media_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_matches": p2_matches, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p3_found": p3_found, "p3_acts": p3_acts, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p1_found": p1_found, "p1_restored": p1_restored}
+QUERIES = {"p2_found": p2_found, "p2_matches": p2_matches, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_overlapping": p9_overlapping, "p10_found": p10_found, "p3_found": p3_found, "p3_acts": p3_acts, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p1_found": p1_found, "p1_restored": p1_restored}
 SQL: dict[str, str] = {}

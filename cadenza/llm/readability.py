@@ -218,21 +218,24 @@ def document_levels(grader: Grader, texts: list[str | None]) -> list[int | None]
     return [int(b) if t else None for b, t in zip(best, total, strict=True)]
 
 
-def graded_sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, level: str, most: int) -> pd.DataFrame:
-    """Graded documents with the mean of their raters' levels: all of them, or `most` picked by a hash of the id."""
-    grades = labels.where(F.col(level).isNotNull()).groupBy(doc_id).agg(F.avg(level).alias("grade")).orderBy(F.xxhash64(doc_id), doc_id).limit(most)
-    return documents.select(doc_id, text).where(F.col(text).isNotNull()).join(F.broadcast(grades), doc_id).toPandas()
+def graded_sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, level: str, most: int, longest: int) -> pd.DataFrame:
+    """Graded documents with the mean of their raters' levels: all of them up to `longest` letters, or `most` of them picked by a hash of the id."""
+    grades = labels.where(F.col(level).isNotNull()).groupBy(doc_id).agg(F.avg(level).alias("grade"))
+    lengths = documents.select(doc_id, F.length(text).alias("__letters")).where(F.col("__letters").between(1, longest))
+    picked = grades.join(lengths, doc_id).orderBy(F.xxhash64(doc_id), doc_id).limit(most).drop("__letters")
+    return documents.select(doc_id, text).where(F.length(text).between(1, longest)).join(F.broadcast(picked), doc_id).toPandas()
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", level: str = "reading_level", most_graded: int = 20_000) -> DataFrame:
+def reading_levels(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", level: str = "reading_level", most_graded: int = 2_000, longest_graded: int = 100_000) -> DataFrame:
     """(doc_id, reading_level) for every row of `documents`; null for a null text or one without words.
 
     The model is fitted on the driver to at most `most_graded` graded
-    documents; corpus word counts cover all documents, and whole texts are
+    documents of at most `longest_graded` letters each, which bounds what the
+    driver gets; corpus word counts cover all documents, and whole texts are
     graded in one pass without a shuffle. Other columns are ignored.
     Without any label an error is raised.
     """
-    sample = graded_sample(documents, labels, doc_id, text, level, most_graded)
+    sample = graded_sample(documents, labels, doc_id, text, level, most_graded, longest_graded)
     if not len(sample):
         raise ValueError("no graded document to fit to")
     grader = fit(list(sample[text]), list(sample["grade"]), corpus_counts(documents, text))

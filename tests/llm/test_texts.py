@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm.leakage import leaked, words_of
+from cadenza.llm.leakage import Item, held_words, leaked, pairs, words_of
 from cadenza.llm.mixing import mix, plan, route, token_counts
 from cadenza.llm.readability import read_sentences, reading_levels, sung_text
 
@@ -43,12 +43,33 @@ def test_leaks(spark):
     assert got == {(100, 0), (101, 1), (102, 2), (103, 3), (105, 5), (109, 6), (110, 7)}
 
 
+def test_leaks_are_those_of_brute_force(spark):
+    """Every document against every item, without retrieval: the index loses no pair of such texts, and the question's share is that of its own words."""
+    rng = random.Random(8)
+    items = [(i, text(rng, 4) + f" Who kept {rng.choice(NOUNS)} number {i} near the garden?") for i in range(25)]
+
+    def changed(t):
+        words = t.split()
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(len(words))] = rng.choice(NOUNS)
+        start = rng.randrange(max(1, len(words) // 2))
+        return " ".join(words[start : start + rng.randrange(12, len(words))])
+
+    docs = [(i, text(rng, 3) + " " + changed(rng.choice(items)[1]) + " " + text(rng, 2)) for i in range(150)]
+    known = {i: Item(words_of([t])[0]) for i, t in items}
+    want = {(d, i) for d, t in docs for i, item in known.items() if held_words(item, pairs(words_of([t])[0]).tolist()).mean() >= 0.4}
+    rows = leaked(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    assert got <= want and len(got) >= 0.97 * len(want) > 30
+    assert {r.asked == 1.0 for r in rows} == {True, False} and all(r.asked is not None for r in rows)
+
+
 def test_leaks_of_nothing(spark):
     none, one = spark.createDataFrame([], "doc_id int, text string"), spark.createDataFrame([(1, "a b c")], "doc_id int, text string")
     items = spark.createDataFrame([(1, "some words of an item")], "item_id int, text string")
     assert leaked(none, items).count() == 0 and leaked(one, items.where("item_id > 1")).count() == 0
     with pytest.raises(ValueError):
-        leaked(one, items, most_items=0)
+        leaked(one, items, most_letters=5)
 
 
 def test_words_are_folded():
