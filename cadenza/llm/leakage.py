@@ -190,7 +190,7 @@ class Probes:
 
     def __init__(self, vectors: np.ndarray, owners: np.ndarray, least_cosine: float, target_recall: float):
         self.vectors, self.owners, self.least = vectors, owners, least_cosine
-        self.bits = max(6, math.ceil(math.log2(max(2, len(vectors)))) + 1)
+        self.bits = max(6, math.ceil(math.log2(max(2, len(vectors)))) + 2)
         alike = min(1 - 1e-9, 1 - math.acos(max(0.0, least_cosine)) / math.pi)  # how often a plane leaves both on one side
         self.tables = max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - alike**self.bits)))
         self.planes = np.random.RandomState(SEED + 1).standard_normal((vectors.shape[1], self.tables * self.bits)).astype(np.float32)
@@ -233,6 +233,7 @@ class Item:
         self.at: dict[int, list[int]] = defaultdict(list)
         for i, p in enumerate(pairs(words).tolist() if len(words) > 1 else []):
             self.at[p].append(i)
+        self.pairs = np.array(sorted(self.at), np.int64)
 
 
 class Shared:
@@ -246,20 +247,21 @@ class Shared:
         self.count = np.diff(np.append(self.first, len(codes)))
         self.items = len(items)
 
-    def hits(self, b: Blocks, documents: int) -> np.ndarray:
-        """How many pairs each document (times the number of items) and item have in common."""
-        size = documents * self.items
-        if not len(self.known) or not len(b.pair):
-            return np.zeros(size, int)
-        near = np.minimum(np.searchsorted(self.known, b.pair), len(self.known) - 1)
-        at = np.flatnonzero(self.known[near] == b.pair)
+    def hits(self, b: Blocks, wanted: np.ndarray) -> np.ndarray:
+        """How many pairs each document (a row of `wanted`, which says what documents are candidates for what items) and item have in common; 0 for documents without candidates."""
+        some = np.flatnonzero(wanted.any(1)[b.owner]) if len(b.pair) else np.zeros(0, int)
+        if not len(self.known) or not len(some):
+            return np.zeros(wanted.shape, int)
+        pair, owner = b.pair[some], b.owner[some]
+        near = np.minimum(np.searchsorted(self.known, pair), len(self.known) - 1)
+        at = np.flatnonzero(self.known[near] == pair)
         n = self.count[near[at]]
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         items = self.item[np.repeat(self.first[near[at]], n) + inside]
-        return np.bincount(np.repeat(b.owner[at], n) * self.items + items, minlength=size)
+        return np.bincount(np.repeat(owner[at], n) * self.items + items, minlength=wanted.size).reshape(wanted.shape)
 
 
-def held_words(item: Item, document_pairs: list[int], *, gap: int = 2, density: float = 0.7, loose: int = 10, strict: int = 8) -> np.ndarray:
+def held_words(item: Item, document_pairs: np.ndarray, *, gap: int = 2, density: float = 0.7, loose: int = 10, strict: int = 8) -> np.ndarray:
     """Which of the item's words are in stretches that the document holds in order.
 
     A stretch is a chain of common word runs, at most `gap` other words apart
@@ -270,8 +272,10 @@ def held_words(item: Item, document_pairs: list[int], *, gap: int = 2, density:
     before one is out of reach of all that follow.
     """
     runs, open_run = [], {}
-    for j, p in enumerate(document_pairs):
-        for i in item.at.get(p, ()):
+    place = np.searchsorted(item.pairs, document_pairs)
+    common = np.flatnonzero(item.pairs[np.minimum(place, len(item.pairs) - 1)] == document_pairs) if len(item.pairs) else ()
+    for j, p in zip(common.tolist(), document_pairs[common].tolist(), strict=True) if len(common) else ():
+        for i in item.at[p]:
             run = open_run.get(j - i)
             if run and run[1] == i + 1:
                 run[1] = i + 2
@@ -353,17 +357,15 @@ def leaked(
             b = Blocks(docs)
             passage, of = b.passages(b.sums(space))
             passage = _unit(passage)
-            found = np.zeros(len(docs) * len(known), bool)
+            found = np.zeros((len(docs), len(known)), bool)
             for at in range(0, len(passage), 4096):
                 row, item = probes.near(passage[at : at + 4096])
-                found[of[at + row] * len(known) + item] = True
+                found[of[at + row], item] = True
             # Stretches are dense in common runs of two words or more, so fewer common pairs than this reach no such share.
-            hits = common.hits(b, len(docs)) if found.any() else found
-            out, last, of_doc = [], -1, []
-            for code in np.flatnonzero(found & (hits >= np.tile(least, len(docs)))).tolist():
-                d, k = divmod(code, len(known))
+            out, last, of_doc = [], -1, np.zeros(0, np.int64)
+            for d, k in np.argwhere(found & (common.hits(b, found) >= least)).tolist():
                 if d != last:
-                    last, of_doc = d, pairs(docs[d]).tolist()
+                    last, of_doc = d, pairs(docs[d])
                 held = held_words(known[k], of_doc)
                 if len(held) and held.mean() >= least_share:
                     question = held[known[k].asked_from :]

@@ -57,7 +57,7 @@ def test_leaks_are_those_of_brute_force(spark):
 
     docs = [(i, text(rng, 3) + " " + changed(rng.choice(items)[1]) + " " + text(rng, 2)) for i in range(150)]
     known = {i: Item(words_of([t])[0]) for i, t in items}
-    want = {(d, i) for d, t in docs for i, item in known.items() if held_words(item, pairs(words_of([t])[0]).tolist()).mean() >= 0.4}
+    want = {(d, i) for d, t in docs for i, item in known.items() if held_words(item, pairs(words_of([t])[0])).mean() >= 0.4}
     rows = leaked(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()
     got = {(r.doc_id, r.item_id) for r in rows}
     assert got <= want and len(got) >= 0.97 * len(want) > 30
