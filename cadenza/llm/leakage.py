@@ -269,12 +269,18 @@ def held_words(item: Item, document_pairs: np.ndarray, *, gap: int = 2, density:
     least `density` are the same: either `strict` words in one run, or
     `loose` words in all, as short runs of set phrases meet by chance. Runs
     come in the document's order, so a chain that ends more than `gap` words
-    before one is out of reach of all that follow.
+    before one is out of reach of all that follow. Half of a stretch's words
+    at least begin a common pair, so pairs count only among so many that
+    follow each other closely.
     """
-    runs, open_run = [], {}
+    runs, open_run, held = [], {}, np.zeros(item.size, bool)
+    if not len(item.pairs):
+        return held
     place = np.searchsorted(item.pairs, document_pairs)
-    common = np.flatnonzero(item.pairs[np.minimum(place, len(item.pairs) - 1)] == document_pairs) if len(item.pairs) else ()
-    for j, p in zip(common.tolist(), document_pairs[common].tolist(), strict=True) if len(common) else ():
+    common = np.flatnonzero(item.pairs[np.minimum(place, len(item.pairs) - 1)] == document_pairs)
+    cluster = np.cumsum(np.diff(common, prepend=common[:1]) > gap + 2)
+    common = common[np.bincount(cluster)[cluster] >= min(-(-loose // 2), strict - 1)]
+    for j, p in zip(common.tolist(), document_pairs[common].tolist(), strict=True):
         for i in item.at[p]:
             run = open_run.get(j - i)
             if run and run[1] == i + 1:
@@ -284,7 +290,6 @@ def held_words(item: Item, document_pairs: np.ndarray, *, gap: int = 2, density:
                 runs.append(run)
     runs.sort(key=lambda r: (r[0] + r[2], r[0]))
     tails: dict[int, list[tuple]] = defaultdict(list)
-    held = np.zeros(item.size, bool)
     for low, high, shift in runs:
         same, start, longest = high - low, low, high - low
         for step in range(-gap, gap + 1):
