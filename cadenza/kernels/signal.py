@@ -52,17 +52,24 @@ def quiet_stretches(df: DataFrame, keys: list[str], frame: str, db: str, below:
     return quiet.withColumn("__run", run).groupBy(*keys, "__run").agg(F.min(frame).alias("first"), F.max(frame).alias("last")).where(F.col("last") - F.col("first") + 1 >= least).drop("__run")
 
 
-def outro_cut(levels: DataFrame, keys: list[str], frame: str, db: str, expected: int, *, before: int = 10, after: int = 15, pause: int = 1) -> DataFrame:
-    """(keys, cut): the start of the pause nearest to where the end is expected, counted from the first loud frame; null without one."""
-    loudness = levels.groupBy(*keys).agg((F.percentile(db, 0.9) - 30).alias("loud"))
+def outro_cut(levels: DataFrame, keys: list[str], frame: str, db: str, expected_s: float, *, frame_s: float = 0.25, below: float = 30.0, before_s: float = 10.0, after_s: float = 15.0, pause_s: float = 1.0, into_s: float = 0.5, extra_s: float = 8.0) -> DataFrame:
+    """(keys, cut_s): where a song ends inside a longer recording, null where nothing shows it.
+
+    Loud frames are at most `below` under the ninetieth percentile. The end is
+    expected `expected_s` after the first loud frame; the pause of `pause_s` or
+    more that begins nearest to it, from `before_s` before to `after_s` after,
+    is cut `into_s` after its start (of two as near the earlier). Recordings
+    that aren't `extra_s` longer than expected are left whole.
+    """
+    loudness = levels.groupBy(*keys).agg((F.percentile(db, 0.9) - below).alias("loud"), (F.count(F.lit(1)) * frame_s).alias("whole_s"))
     marked = levels.join(loudness, keys)
-    begin = marked.where(F.col(db) > F.col("loud")).groupBy(*keys).agg((F.min(frame) + expected).alias("end"))
+    begin = marked.where(F.col(db) > F.col("loud")).groupBy(*keys).agg((F.min(frame) * frame_s + expected_s).alias("end"), F.first("whole_s").alias("whole_s"))
     quiet = marked.where(F.col(db) <= F.col("loud"))
     run = F.col(frame) - F.row_number().over(Window.partitionBy(*keys).orderBy(frame))
-    pauses = quiet.withColumn("__run", run).groupBy(*keys, "__run").agg(F.min(frame).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= pause)
-    near = pauses.join(begin, keys).where(F.col("first").between(F.col("end") - before, F.col("end") + after))
-    cut = near.groupBy(*keys).agg(F.min_by("first", F.struct(F.abs(F.col("first") - F.col("end")), "first")).alias("cut"))
-    return begin.join(cut, keys, "left").select(*keys, "cut")
+    pauses = quiet.withColumn("__run", run).groupBy(*keys, "__run").agg((F.min(frame) * frame_s).alias("first"), (F.count(F.lit(1)) * frame_s).alias("n")).where(F.col("n") >= pause_s)
+    near = pauses.join(begin, keys).where(F.col("first").between(F.col("end") - before_s, F.col("end") + after_s) & (F.col("whole_s") - expected_s >= extra_s))
+    cut = near.groupBy(*keys).agg((F.min_by("first", F.struct(F.abs(F.col("first") - F.col("end")), "first")) + into_s).alias("cut_s"))
+    return begin.join(cut, keys, "left").select(*keys, "cut_s")
 
 
 def lag_of(a: np.ndarray, b: np.ndarray, most: int) -> tuple[float, float]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,16 +68,23 @@ def theil_sen(df: DataFrame, keys: list[str], x: str, y: str, *, least: int = 8,
     """Robust line through each key's points: median slope of pairs more than `apart` in x, median intercept, and the share of points within `within`.
 
     Pairs are taken of every (n // most)-th point, as the method has it, so a
-    key gives at most (2 most)^2 / 2 of them however many points it has; the
-    intercept and the share use all points. Slope 1 where no pair is far
+    key sends at most 2 most points to the function that pairs them, however
+    many it has; the intercept and the share use all points. Slope 1 where no pair is far
     enough apart; keys with fewer than `least` points give no row.
     """
     points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("x", "y")) - 1
     sized = points.join(points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), keys)
     thin = sized.withColumn("i", place).where(F.col("i") % F.greatest(F.lit(1), F.floor(F.col("n") / most)) == 0)
-    a, b = thin.select(*keys, F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("i").alias("i1")), thin.select(*keys, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("i").alias("i2"))
-    slopes = a.join(b, keys).where((F.col("i2") > F.col("i1")) & (F.col("x2") - F.col("x1") > apart)).groupBy(*keys).agg(F.median((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))).alias("slope"))
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def median_slope(group: pd.DataFrame) -> pd.DataFrame:
+        at, level = group.sort_values("i")[["x", "y"]].to_numpy(float).T
+        far = np.triu(at[None, :] - at[:, None] > apart, 1)
+        slope = [float(np.median((level[None, :] - level[:, None])[far] / (at[None, :] - at[:, None])[far]))] if far.any() else []
+        return pd.DataFrame({**{k: [group[k].iloc[0]] * len(slope) for k in keys}, "slope": slope})
+
+    slopes = thin.select(*keys, "x", "y", "i").groupBy(*keys).applyInPandas(median_slope, f"{kinds}, slope double")
     sloped = sized.join(slopes, keys, "left").withColumn("slope", F.coalesce("slope", F.lit(1.0)))
     level = sloped.groupBy(*keys).agg(F.first("slope").alias("slope"), F.median(F.col("y") - F.col("slope") * F.col("x")).alias("intercept"), F.count(F.lit(1)).alias("n"))
     fitted = sized.drop("n").join(level, keys)
@@ -106,23 +115,21 @@ def ranges_text(df: DataFrame, keys: list[str], number: str) -> DataFrame:
     return each.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "b"))), text), ", ").alias("ranges"))
 
 
-#: Weight of each pitch class above the tonic, for major and minor keys. Fixed values.
-MAJOR = [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]
-MINOR = [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]
+#: The steps of a major and a minor scale. Fixed values.
+MAJOR_STEPS, MINOR_STEPS = [0, 2, 4, 5, 7, 9, 11], [0, 2, 3, 5, 7, 8, 10]
 
 
 def detect_key(df: DataFrame, keys: list[str], pitch: str, weight: Column) -> DataFrame:
-    """The musical key whose profile correlates best with the key's pitch classes; ties: major first, then the lower tonic."""
+    """The musical key whose scale correlates best with the key's pitch classes (1 for those of the scale, 0 for others); of equal ones the lower tonic, then major."""
     classes = df.where(F.col(pitch).isNotNull()).groupBy(*keys).agg(*[F.sum(F.when(F.pmod(pitch, F.lit(12)) == i, weight).otherwise(0)).cast("double").alias(f"c{i}") for i in range(12)])
-    rows = [(m, t, [p[(i - t) % 12] for i in range(12)]) for m, p in ((0, MAJOR), (1, MINOR)) for t in range(12)]
     mean = sum((F.col(f"c{i}") for i in range(12)), F.lit(0.0)) / 12
-    centred = [F.col(f"c{i}") - mean for i in range(12)]
-    size = F.sqrt(sum((c * c for c in centred), F.lit(0.0)))
+    size = F.sqrt(sum(((F.col(f"c{i}") - mean) * (F.col(f"c{i}") - mean) for i in range(12)), F.lit(0.0)))
     scored = []
-    for m, t, p in rows:
-        middle = sum(p) / 12
-        norm = sum((v - middle) ** 2 for v in p) ** 0.5
-        scored.append(F.struct((-F.round(sum((c * (v - middle) for c, v in zip(centred, p, strict=True)), F.lit(0.0)) / (size * norm), 9)).alias("r"), F.lit(m).alias("minor"), F.lit(t).alias("tonic")))
+    for tonic in range(12):
+        for minor, steps in ((0, MAJOR_STEPS), (1, MINOR_STEPS)):
+            inside = sum((F.col(f"c{(tonic + s) % 12}") - mean for s in steps), F.lit(0.0))  # the mean of centred values is 0
+            spread = (len(steps) * (12 - len(steps)) / 12) ** 0.5
+            scored.append(F.struct((-F.round(inside / (size * spread), 9)).alias("r"), F.lit(tonic).alias("tonic"), F.lit(minor).alias("minor")))
     best = F.array_min(F.array(*scored))
     return classes.where(size > 0).select(*keys, best["tonic"].alias("tonic"), best["minor"].alias("minor"), F.round(-best["r"], 6).alias("correlation"))
 

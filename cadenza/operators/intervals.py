@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 
 from cadenza.session import checkpoint, shuffle_partitions
 
-#: Blocks of one level in a batch are told apart by group and index in one sortable pair.
-LEVELS = 62
+#: Positions are counted from the least BIGINT, without sign.
+LEVELS = 64
+SIGN = np.uint64(1 << 63)
 
 
 def dyadic_blocks(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -32,7 +33,7 @@ def dyadic_blocks(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> list
             break
         left, right = (low & 1) == 1, (high & 1) == 1
         levels.append(_distinct(np.concatenate([of[left], of[right]]), np.concatenate([low[left], high[right] - 1])))
-        low, high = (low + left) >> 1, high >> 1
+        low, high = (low >> 1) + left, high >> 1
         more = low < high
         low, high, of = low[more], high[more], of[more]
     return levels
@@ -46,33 +47,37 @@ def _distinct(group: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndar
     return group[first], index[first]
 
 
-def _without_covered(levels: list[tuple[np.ndarray, np.ndarray]], origin: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The blocks that no block of a higher level holds: kept ones are disjoint, so one lookup among them decides."""
-    kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 2] * len(levels)
-    held_from = np.empty(0, np.complex128)
-    held_to = np.empty(0, np.int64)
-    held_group = np.empty(0, np.int64)
+def _without_covered(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The blocks that no block of a higher level holds: kept ones are disjoint, so one lookup among them decides.
+
+    Blocks are looked up by whole numbers of (group, place of the start among
+    all starts), so positions however far apart are told apart exactly.
+    """
+    starts = np.unique(np.concatenate([index << k for k, (_, index) in enumerate(levels)]))
+    places = len(starts) + 1
+    kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.uint64))] * len(levels)
+    held_from, held_to, held_group = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     for level in range(len(levels) - 1, -1, -1):
         group, index = levels[level]
-        if len(group) and len(held_from):
-            start = (index << level) - origin
-            at = np.searchsorted(held_from, group + 1j * start, side="right") - 1
+        if not len(group):
+            continue
+        start = index << level
+        key = group * places + np.searchsorted(starts, start)
+        if len(held_from):
+            at = np.searchsorted(held_from, key, side="right") - 1
             inside = (at >= 0) & (held_group[at] == group) & (held_to[at] > start)
-            group, index = group[~inside], index[~inside]
+            group, index, start, key = group[~inside], index[~inside], start[~inside], key[~inside]
         kept[level] = group, index
-        if len(group):
-            start = (index << level) - origin
-            key = np.concatenate([held_from, group + 1j * start])
-            order = np.argsort(key, kind="stable")
-            held_from = key[order]
-            held_to = np.concatenate([held_to, start + (1 << level)])[order]
-            held_group = np.concatenate([held_group, group])[order]
+        order = np.argsort(np.concatenate([held_from, key]), kind="stable")
+        held_from = np.concatenate([held_from, key])[order]
+        held_to = np.concatenate([held_to, start + (1 << level)])[order]
+        held_group = np.concatenate([held_group, group])[order]
     return kept
 
 
 def _merged_upward(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sibling pairs become their parent, from the lowest level on."""
-    out, group, index = [], np.empty(0, np.int64), np.empty(0, np.int64)
+    out, group, index = [], np.empty(0, np.int64), np.empty(0, np.uint64)
     level = 0
     while level < len(levels) or len(group):
         if level < len(levels):
@@ -91,10 +96,8 @@ def dyadic_union(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple
     """The union of half-open integer intervals per group: sorted, disjoint, not touching."""
     if not len(start):
         return start, end, group
-    origin = int(start.min())
-    if int(end.max()) - origin >= 1 << 52:  # sorted by float pairs: exact below that
-        raise OverflowError("positions of one batch span more than 2^52")
-    levels = _merged_upward(_without_covered(dyadic_blocks(start - origin, end - origin, group), 0))
+    plain = [x.astype(np.int64).view(np.uint64) ^ SIGN for x in (start, end)]
+    levels = _merged_upward(_without_covered(dyadic_blocks(*plain, group)))
     blocks = [(g, i << k, (i + 1) << k) for k, (g, i) in enumerate(levels) if len(g)]
     group, low, high = (np.concatenate(x) for x in zip(*blocks, strict=True))
     order = np.lexsort((low, group))
@@ -102,7 +105,7 @@ def dyadic_union(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple
     opens = np.ones(len(group), bool)
     opens[1:] = (group[1:] != group[:-1]) | (low[1:] != high[:-1])
     closes = np.append(opens[1:], True)
-    return low[opens] + origin, high[closes] + origin, group[opens]
+    return (low[opens] ^ SIGN).view(np.int64), (high[closes] ^ SIGN).view(np.int64), group[opens]
 
 
 def _runs(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cadenza.session import estimated_bytes
+from cadenza.session import checkpoint, estimated_bytes
 
 #: A side up to this estimated size is sent to every task; larger ones are shuffled.
 BROADCAST_BYTES = 16 << 20
@@ -49,14 +52,19 @@ def range_join(intervals: DataFrame, points: DataFrame, keys: list[str], start:
     return spanned.join(placed, [*keys, "__b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__b")
 
 
-def subtract_intervals(df: DataFrame, holes: DataFrame, keys: list[str], start: str, end: str, *, row: str, least: float) -> DataFrame:
+def subtract_intervals(df: DataFrame, holes: DataFrame, keys: list[str], start: str, end: str, *, row: str, least: float, width: float) -> DataFrame:
     """What is left of each row's interval without the holes of its keys, in pieces of at least `least`: keys, row, piece from 0, start, end.
 
-    Touching doesn't overlap. Holes may overlap each other.
+    Touching doesn't overlap. Holes may overlap each other. Rows meet only
+    holes of the same buckets of `width` (about a row's length), in the first
+    bucket that both span, so a hot key is no comparison of all with all.
     """
-    cut = holes.select(*keys, F.col(start).alias("h_start"), F.col(end).alias("h_end")).where("h_end > h_start")
-    met = df.join(cut, [*keys], "left").where(F.col("h_start").isNull() | (F.col("h_start") < F.col(end)) & (F.col("h_end") > F.col(start)))
-    touched = met.groupBy(*keys, row).agg(F.array_sort(F.collect_list(F.when(F.col("h_start").isNotNull(), F.struct("h_start", "h_end")))).alias("holes"))
+    spans = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
+    cut = holes.select(*keys, F.col(start).alias("h_start"), F.col(end).alias("h_end")).where("h_end > h_start").withColumn("__b", spans("h_start", "h_end"))
+    spanned = df.select(*keys, row, start, end).where(F.col(end) > F.col(start)).withColumn("__b", spans(start, end))
+    first = F.greatest(F.floor(F.col(start) / width), F.floor(F.col("h_start") / width))
+    met = spanned.join(cut, [*keys, "__b"]).where((F.col("h_start") < F.col(end)) & (F.col("h_end") > F.col(start)) & (F.col("__b") == first))
+    touched = met.groupBy(*keys, row).agg(F.array_sort(F.collect_list(F.struct("h_start", "h_end"))).alias("holes"))
     whole = df.select(*keys, row, start, end).join(touched, [*keys, row], "left").withColumn("holes", F.coalesce("holes", F.array().cast("array<struct<h_start:double,h_end:double>>")))
     # Walking the sorted holes keeps the end of what is covered so far; the pieces lie between.
     zero = F.struct(F.col(start).cast("double").alias("at"), F.array().cast("array<struct<s:double,e:double>>").alias("pieces"))
@@ -150,3 +158,15 @@ def distinct_ignoring_case(df: DataFrame, keys: list[str], value: str, order: li
 def top_of(df: DataFrame, keys: list[str], order: list[Column], k: int, *, place: str = "place") -> DataFrame:
     """The first k rows of each key in an order that must be unique; Spark keeps only k of each key before the shuffle."""
     return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= k)
+
+
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Rows numbered from 1 in a total order: a range sort, then each range's rows are counted on from the ranges before; one row for each range reaches the driver."""
+    spark = df.sparkSession
+    kind = T.StructType([T.StructField("__part", T.IntegerType()), *df.schema.fields])
+    ranged = checkpoint(df.orderBy(*order).withColumn("__part", F.spark_partition_id()).select("__part", *df.columns))
+    sizes = sorted((r["__part"], r.n) for r in ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before = list(accumulate((n for _, n in sizes), initial=0))
+    starts = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "__part int, __before long")
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return spark.createDataFrame([], kind).drop("__part").withColumn(out, F.lit(0)) if not sizes else ranged.join(F.broadcast(starts), "__part").withColumn(out, (F.col("__before") + within).cast("int")).drop("__part", "__before")

@@ -92,12 +92,13 @@ def k13(spark: SparkSession, d: str) -> DataFrame:
     return signal.quiet_stretches(levels(spark, d), ["user_id"], "frame", "db", 30.0, 2)
 
 
-@query("k14_outro_cut", f"""WITH {_FRAMES}, l AS (SELECT user_id, quantile_cont(db, 0.9) - 5 AS loud FROM f GROUP BY user_id), m AS (SELECT * FROM f JOIN l USING (user_id)),
-b AS (SELECT user_id, min(frame) + 6 AS fin FROM m WHERE db > loud GROUP BY user_id), q AS (SELECT *, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) AS run FROM m WHERE db <= loud),
-p AS (SELECT user_id, min(frame) AS first FROM q GROUP BY user_id, run), s AS (SELECT p.user_id, arg_min(first, {{'d': abs(first - fin), 'f': first}}) AS cut FROM p JOIN b USING (user_id) WHERE first BETWEEN fin - 10 AND fin + 15 GROUP BY p.user_id)
-SELECT b.user_id, s.cut FROM b LEFT JOIN s USING (user_id)""".replace("- 5 AS loud", "- 30 AS loud"))
+@query("k14_outro_cut", f"""WITH {_FRAMES}, l AS (SELECT user_id, quantile_cont(db, 0.9) - 30 AS loud, count(*) AS whole FROM f GROUP BY user_id), m AS (SELECT * FROM f JOIN l USING (user_id)),
+b AS (SELECT user_id, min(frame) + 4 AS fin, any_value(whole) AS whole FROM m WHERE db > loud GROUP BY user_id), q AS (SELECT *, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) AS run FROM m WHERE db <= loud),
+p AS (SELECT user_id, min(frame) AS first FROM q GROUP BY user_id, run HAVING count(*) >= 1), s AS (SELECT p.user_id, arg_min(first, {{'d': abs(first - fin), 'f': first}}) + 0.5 AS cut_s FROM p JOIN b USING (user_id) WHERE first BETWEEN fin - 10 AND fin + 15 AND whole - 4 >= 8 GROUP BY p.user_id)
+SELECT b.user_id, s.cut_s::DOUBLE AS cut_s FROM b LEFT JOIN s USING (user_id)""")
 def k14(spark: SparkSession, d: str) -> DataFrame:
-    return signal.outro_cut(levels(spark, d), ["user_id"], "frame", "db", 6)
+    """Frames of a second each."""
+    return signal.outro_cut(levels(spark, d), ["user_id"], "frame", "db", 4.0, frame_s=1.0)
 
 
 @query("k15_lag")
@@ -136,15 +137,9 @@ def j4(spark: SparkSession, d: str) -> DataFrame:
     return similarity.fuzzy_best(f, m, "fix_id", "media_id", ["artist", "title"], least=0.8)
 
 
-@query("f1_fold_word", "SELECT DISTINCT word, regexp_replace(lower(strip_accents(word)), '[^a-z]', '', 'g') AS folded FROM notes WHERE regexp_full_match(word, '[ -~áéíóúñüöäàèçêôûâãõ]*')")
+@query("f1_fold_word")
 def f1(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "notes").where(F.col("word").rlike("^[ -~áéíóúñüöäàèçêôûâãõ]*$")).select("word").distinct()
-    return n.select("word", similarity.fold_word_column(F.col("word")).alias("folded"))
-
-
-@query("f1_fold_all_words")
-def f1_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every word, of any script; the SQL of f1_fold_word can't fold those beyond the letters that it lists."""
+    """Words of every script."""
     n = table(spark, d, "notes").where("word is not null").select("word").distinct()
     return n.select("word", similarity.fold_word_column(F.col("word")).alias("folded"))
 
@@ -161,7 +156,7 @@ def st_sessions(spark: SparkSession, d: str) -> DataFrame:
     return streams.sessions(table(spark, d, "events").select("user_id", "ts"), "ts", "1 day", ["user_id"])
 
 
-@query("st_tumbling")
+@query("st_tumbling", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL HAVING time_bucket(INTERVAL 1 DAY, min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def st_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts of a stream of files; the last windows stay open until the watermark passes them."""
     stream = streams.read_stream(spark, f"{d}/event[s].parquet").select("event_type", F.col("ts").cast("timestamp").alias("at"))
@@ -171,7 +166,7 @@ def st_tumbling(spark: SparkSession, d: str) -> DataFrame:
 @query("st_running_best", "SELECT user_id, max(value) AS best FROM events WHERE value IS NOT NULL GROUP BY user_id")
 def st_running_best(spark: SparkSession, d: str) -> DataFrame:
     stream = streams.read_stream(spark, f"{d}/event[s].parquet").select("user_id", "value")
-    best = streams.drain(streams.running_best(stream, "user_id", "value", lambda a, b: a > b))
+    best = streams.drain(streams.running_best(stream, "user_id", "value"))
     return best.groupBy("user_id").agg(F.max("best").alias("best"))
 
 

@@ -67,12 +67,19 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("song_id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("song_id")
 
 
-@query("s24_set_tag")
+@query("s24_set_tag", r"""WITH l AS (SELECT song_id, text LIKE '%' || chr(13) || chr(10) || '%' AS crlf, regexp_split_to_array(text, '\r\n|\n') AS ls FROM song_files),
+m AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(upper(ls[i]), '^\x{FEFF}?#GENRE:')) AS hits, list_filter(range(1, len(ls) + 1), lambda i: NOT regexp_matches(ls[i], '^\x{FEFF}?#'))[1] AS body FROM l)
+SELECT song_id, CASE WHEN crlf THEN replace(t, chr(1), chr(13) || chr(10)) ELSE replace(t, chr(1), chr(10)) END AS text FROM (SELECT song_id, crlf, array_to_string(CASE WHEN len(hits) > 0 THEN list_transform(list_filter(range(1, len(ls) + 1), lambda i: i = hits[1] OR NOT list_contains(hits, i)), lambda i: CASE WHEN i = hits[1] THEN '#GENRE:Polka' ELSE ls[i] END)
+ELSE list_concat(list_concat(ls[1:coalesce(body, len(ls) + 1) - 1], ['#GENRE:Polka']), ls[coalesce(body, len(ls) + 1):]) END, chr(1)) AS t FROM m)""")
 def s24(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).select("song_id", songs.set_tag(F.col("text"), "GENRE", "Polka").alias("text"))
 
 
-@query("s20_write_text")
+@query("s20_write_text", rf"""WITH {L}, {T_}, {N_}, head AS (SELECT song_id, string_agg('#' || tag || ':' || value, chr(10) ORDER BY CASE tag WHEN 'TITLE' THEN 1 WHEN 'ARTIST' THEN 2 WHEN 'LANGUAGE' THEN 3 WHEN 'BPM' THEN 4 WHEN 'GAP' THEN 5 ELSE 6 END, tag) AS head FROM h GROUP BY song_id),
+b AS (SELECT song_id, coalesce(part, '') AS part, lyric_line, string_agg(type || ' ' || trunc(beat)::BIGINT || ' ' || trunc(length)::BIGINT || ' ' || pitch || ' ' || word, chr(10) ORDER BY line_no) AS body, trunc(max(beat + length))::BIGINT AS until FROM n GROUP BY ALL),
+e AS (SELECT *, lyric_line = max(lyric_line) OVER (PARTITION BY song_id, part) AS last FROM b),
+p AS (SELECT song_id, part, CASE WHEN part <> '' THEN part || chr(10) ELSE '' END || string_agg(body || CASE WHEN last THEN '' ELSE chr(10) || '- ' || until END, chr(10) ORDER BY lyric_line) AS body FROM e GROUP BY song_id, part)
+SELECT song_id, head || chr(10) || coalesce(string_agg(body, chr(10) ORDER BY part) || chr(10), '') || 'E' || chr(10) AS text FROM head LEFT JOIN p USING (song_id) GROUP BY song_id, head""")
 def s20(spark: SparkSession, d: str) -> DataFrame:
     f = files(spark, d)
     return songs.write_text(songs.tags(f, "song_id", "text"), songs.read_notes(f, "song_id", "text"), "song_id", ["TITLE", "ARTIST", "LANGUAGE", "BPM", "GAP"])
@@ -83,13 +90,19 @@ def s22(spark: SparkSession, d: str) -> DataFrame:
     return songs.lines(files(spark, d), "song_id", "text").select("song_id", "line_no", songs.replace_pitch(F.col("line"), F.lit(7)).alias("line"))
 
 
-@query("s15_plain_lyrics", r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS line, generate_subscripts(regexp_split_to_array(text, '\r\n|\n|\r'), 1) AS line_no FROM documents WHERE source = 'lyrics_sheet'),
-k AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\[[^\]\d][^\]]*\]\s*$') THEN trim(regexp_extract(line, '\[([^\]]*)\]', 1)) END AS mark FROM l),
-s AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM k)
-SELECT doc_id, line_no::INT AS line_no, section, trim(line) AS line FROM s WHERE mark IS NULL AND trim(line) <> '' AND NOT regexp_matches(line, '(?i)^\s*(?:lyrics|words|music|written|composed|produced|text|musik)\b.*:')""")
+_CREDIT = r"(?i)^(?:(?:作词|作曲|编曲|制作人|混音|母带)(?:\s*[:：]|\s)|(?:lyrics?\s*by|lyricist|composer|arranger|producer|mixed\s*by|mastered\s*by)\s*[:：])"
+_MARK = r"(?i)^\[\s*([^\[\]]+?)(?:\s+(?:[x×]\s*\d+|\d+\s*[x×]))?\s*\](?:\s*(?:(?:[x×]\s*\d+|\d+\s*[x×])|\[\s*(?:[x×]\s*\d+|\d+\s*[x×])\s*\]|\(\s*(?:[x×]\s*\d+|\d+\s*[x×])\s*\)))?$"
+
+
+@query("s15_plain_lyrics", rf"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '^\x{{FEFF}}', ''), '\r\n|\n|\r')) AS line, generate_subscripts(regexp_split_to_array(regexp_replace(text, '^\x{{FEFF}}', ''), '\r\n|\n|\r'), 1) AS line_no FROM documents WHERE text IS NOT NULL),
+k AS (SELECT *, CASE WHEN regexp_matches(trim(line), '{_MARK}') THEN lower(trim(regexp_extract(trim(line), '{_MARK}', 1))) END AS own FROM l),
+s AS (SELECT doc_id, line_no, line, own, count(own) OVER w AS section_no, last_value(own IGNORE NULLS) OVER w AS mark FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+z AS (SELECT doc_id, section_no, any_value(mark) AS mark, count(*) FILTER (own IS NULL AND trim(line) <> '') AS n FROM s GROUP BY ALL),
+r AS (SELECT z.doc_id, z.section_no, z.mark, CASE WHEN z.n > 0 THEN z.section_no ELSE (SELECT min(y.section_no) FROM z y WHERE y.doc_id = z.doc_id AND y.mark = z.mark AND y.n > 0 AND y.section_no < z.section_no) END AS source FROM z),
+c AS (SELECT r.doc_id, r.section_no, r.mark, s.line_no, trim(regexp_replace(trim(s.line), '^(?:\[\d+:\d+(?:[.:]\d+)?\]\s*)+', '')) AS line FROM r JOIN s ON s.doc_id = r.doc_id AND s.section_no = r.source AND s.own IS NULL)
+SELECT doc_id, section_no::BIGINT AS section_no, mark, line_no::INT AS line_no, line FROM c WHERE line <> '' AND NOT regexp_matches(line, '{_CREDIT}') AND NOT regexp_matches(line, '^\([^()]*\)$')""")
 def s15(spark: SparkSession, d: str) -> DataFrame:
-    sheets = table(spark, d, "documents").where("source = 'lyrics_sheet'").select("doc_id", F.regexp_replace("text", r"^\x{FEFF}", "").alias("text"))
-    return texts.read_plain_lyrics(sheets, "doc_id", "text")
+    return texts.read_plain_lyrics(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 @query("s14_timed_lyrics", r"""SELECT take_id, seq::INT + 1 AS line_no, round(m * 60 + s + f / 100, 6) AS start_s, trim(word) AS line FROM (SELECT DISTINCT take_id, seq, word, floor(start_s / 60) AS m, floor(start_s % 60) AS s, 7 AS f FROM timed_words WHERE start_s >= 0 AND NOT isnan(start_s)) WHERE trim(word) <> '' AND NOT regexp_matches(trim(word), '^\([^)]*\)$')""".replace("seq::INT + 1", "1"))
@@ -99,12 +112,13 @@ def s14(spark: SparkSession, d: str) -> DataFrame:
     return texts.read_timed_lyrics(stamped, "key", "text").select(F.col("key.take_id").alias("take_id"), "line_no", r6("start_s").alias("start_s"), "line")
 
 
-@query("s9_want_list", r"""SELECT band, title, url FROM (SELECT trim(regexp_split_to_array(rest, '\s+-\s+')[1]) AS band, trim(coalesce(array_to_string(regexp_split_to_array(rest, '\s+-\s+')[2:], ' - '), '')) AS title, url FROM
-(SELECT trim(replace(artist, ' - ', ' ') || ' - ' || replace(title, ' - ', ' ')) AS rest, video_url AS url FROM media_info WHERE artist IS NOT NULL AND video_url IS NOT NULL AND NOT regexp_matches(artist, '^\s*#') AND NOT regexp_matches(artist || title, '\s-|-\s')))""")
+@query("s9_want_list", r"""WITH l AS (SELECT coalesce(artist, '') || ' - ' || coalesce(title, '') || coalesce(' ' || video_url, '') AS line FROM media_info),
+r AS (SELECT regexp_extract(line, '(https?://\S+)', 1) AS url, trim(regexp_replace(line, 'https?://\S+', '', 'g')) AS rest FROM l WHERE trim(line) <> '' AND NOT regexp_matches(line, '^\s*#'))
+SELECT trim(regexp_split_to_array(rest, '\s+-\s+')[1]) AS band, trim(CASE WHEN regexp_matches(rest, '\s+-\s+') THEN regexp_extract(rest, '^(?s:.*?)\s+-\s+((?s:.*))$', 1) ELSE '' END) AS title, CASE WHEN url = '' THEN 'skip' ELSE url END AS url FROM r""")
 def s9(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "media_info").where("artist is not null and video_url is not null").where(~F.concat("artist", "title").rlike(r"\s-|-\s"))
-    lines = m.select(F.concat(F.replace("artist", F.lit(" - "), F.lit(" ")), F.lit(" - "), F.replace("title", F.lit(" - "), F.lit(" ")), F.lit(" "), "video_url").alias("line"))
-    return texts.read_want_list(lines, "line")
+    """Every medium as a line of a list; without a link it is to be skipped."""
+    line = F.concat(F.coalesce("artist", F.lit("")), F.lit(" - "), F.coalesce("title", F.lit("")), F.coalesce(F.concat(F.lit(" "), "video_url"), F.lit("")))
+    return texts.read_want_list(table(spark, d, "media_info").select(line.alias("line")), "line")
 
 
 @query("s28_log_marks", """SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS kind FROM events""")

@@ -219,13 +219,11 @@ def a19(spark: SparkSession, d: str) -> DataFrame:
     return A.ranges_text(table(spark, d, "notes"), ["song_id"], "line_no")
 
 
-_KEYS = ", ".join(f"({m}, {t}, {i}, {p[(i - t) % 12]})" for m, p in ((0, A.MAJOR), (1, A.MINOR)) for t in range(12) for i in range(12))
-
-
-@query("a20_key", f"""WITH n AS (SELECT song_id, (pitch % 12 + 12) % 12 AS pc, sum(greatest(coalesce(beat_length, 0), 0))::DOUBLE AS w FROM notes WHERE pitch IS NOT NULL GROUP BY ALL),
-k(minor, tonic, pc, p) AS (VALUES {_KEYS}), s AS (SELECT DISTINCT song_id FROM n),
-c AS (SELECT s.song_id, k.minor, k.tonic, round(corr(coalesce(n.w, 0), k.p::DOUBLE), 9) AS r, stddev_pop(coalesce(n.w, 0)) AS sd FROM s CROSS JOIN k LEFT JOIN n ON n.song_id = s.song_id AND n.pc = k.pc GROUP BY ALL)
-SELECT song_id, tonic, minor, round(r, 6) AS correlation FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY r DESC, minor, tonic) AS place FROM c WHERE sd > 0) WHERE place = 1""")
+@query("a20_key", """WITH n AS (SELECT song_id, (pitch % 12 + 12) % 12 AS pc, sum(greatest(coalesce(beat_length, 0), 0))::DOUBLE AS w FROM notes WHERE pitch IS NOT NULL GROUP BY ALL),
+t(minor, pattern) AS (VALUES (0, '101011010101'), (1, '101101011010')),
+k AS (SELECT minor, tonic, pc, substr(pattern, ((pc - tonic) % 12 + 12) % 12 + 1, 1)::DOUBLE AS p FROM t, (SELECT unnest(range(12)) AS tonic), (SELECT unnest(range(12)) AS pc)), s AS (SELECT DISTINCT song_id FROM n),
+c AS (SELECT s.song_id, k.minor, k.tonic, round(corr(coalesce(n.w, 0), k.p), 9) AS r, stddev_pop(coalesce(n.w, 0)) AS sd FROM s CROSS JOIN k LEFT JOIN n ON n.song_id = s.song_id AND n.pc = k.pc GROUP BY ALL)
+SELECT song_id, tonic::INT AS tonic, minor, round(r, 6) AS correlation FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY r DESC, tonic, minor) AS place FROM c WHERE sd > 0) WHERE place = 1""")
 def a20(spark: SparkSession, d: str) -> DataFrame:
     return A.detect_key(table(spark, d, "notes"), ["song_id"], "pitch", F.greatest(F.coalesce("beat_length", F.lit(0)), F.lit(0)))
 

@@ -33,8 +33,7 @@ def sung_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     def milliseconds(seconds: str):
-        finite = ~F.isnan(seconds) & (F.abs(seconds) < 9e12)
-        return F.when(finite, F.round(F.col(seconds) * 1000).cast("long"))
+        return F.round(F.col(seconds) * 1000).try_cast("long")  # null for what no BIGINT holds: NaN, infinity, 9.2e15 seconds and more
 
     words = table(spark, sf_dir, "timed_words").select(
         F.lit("words").alias("src"), F.col("take_id").alias("ref_id"), F.lit("").alias("voice"), milliseconds("start_s").alias("start"), milliseconds("end_s").alias("end")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, its lineage cut.
 
     The folder is the one in spark.checkpoint.dir. Only where that is unset
-    and Spark runs in a single process (tests), a temporary folder serves.
+    and Spark runs in a single process (tests), a temporary folder serves; it
+    is removed at the end.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -26,7 +28,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not folder:
             if not context.master.startswith("local[") and context.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = os.path.join(tempfile.gettempdir(), f"cadenza-{os.getpid()}")
+            folder = tempfile.mkdtemp(prefix="cadenza-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 

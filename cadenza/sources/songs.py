@@ -29,11 +29,17 @@ def decode_text(raw: pd.Series) -> pd.Series:
     return pd.Series([one(b) for b in raw], dtype=object)
 
 
-def read_library(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, text) of every .txt below a folder that has a title and an artist tag."""
+def is_song(text: Column) -> Column:
+    """Whether a text has a title and an artist tag with something in them."""
+    return text.rlike(r"(?im)^[\s\x{FEFF}]*#TITLE[ \t]*:[ \t]*\S") & text.rlike(r"(?im)^[\s\x{FEFF}]*#ARTIST[ \t]*:[ \t]*\S")
+
+
+def read_library(spark: SparkSession, folder: str, *, admin: tuple[str, ...] = ()) -> DataFrame:
+    """(path, text) of every .txt below a folder that is a song, in the order of their paths; files named as in `admin` are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(folder)
-    texts = files.select("path", decode_text("content").alias("text"))
-    return texts.where(F.col("text").rlike(r"(?im)^\s*#TITLE:[ \t]*\S") & F.col("text").rlike(r"(?im)^\s*#ARTIST:[ \t]*\S"))
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    texts = files.where(~name.isin(*[a.lower() for a in admin]) if admin else F.lit(True)).select("path", decode_text("content").alias("text"))
+    return texts.where(is_song(F.col("text"))).orderBy("path")
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -107,14 +113,24 @@ def set_tag(text: Column, tag: str, value: str | None) -> Column:
 
 
 def write_text(headers: DataFrame, notes: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """(key, text): tags in the given order, then notes with a break after each lyric line, then E."""
+    """(key, text): tags in the given order, then each part's notes (after a line P1 or P2 in duets), then E.
+
+    A break after each lyric line but a part's last bears the beat at which
+    the line's last note ends. Read back, the notes are the same.
+    """
     place = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in order]), F.col("tag")), F.lit(0))
     place = F.when(place == 0, len(order) + 1).otherwise(place)
     head = headers.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), "tag", "value"))), lambda x: F.concat(F.lit("#"), x["tag"], F.lit(":"), x["value"])), "\n").alias("head"))
     number = lambda c: F.col(c).cast("long").cast("string")
     row = F.concat_ws(" ", "type", number("beat"), number("length"), F.col("pitch").cast("string"), "word")
-    each = notes.groupBy(key, "lyric_line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("r")))), lambda x: x["r"]), "\n").alias("body"), F.max(F.col("beat") + F.col("length")).cast("long").alias("until"))
-    body = each.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lyric_line", "body", "until"))), lambda x: x["body"]), "\n- 0\n").alias("body"))
+    part = F.coalesce("part", F.lit(""))
+    lyric = notes.groupBy(key, part.alias("part"), "lyric_line").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("r")))), lambda x: x["r"]), "\n").alias("body"), F.max(F.col("beat") + F.col("length")).cast("long").cast("string").alias("until")
+    )
+    broken = lambda x, i: F.when(i < F.size("of") - 1, F.concat(x["body"], F.lit("\n- "), x["until"])).otherwise(x["body"])
+    parts = lyric.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("lyric_line", "body", "until"))).alias("of"))
+    parts = parts.select(key, "part", F.concat(F.when(F.col("part") != "", F.concat("part", F.lit("\n"))).otherwise(""), F.array_join(F.transform("of", broken), "\n")).alias("body"))
+    body = parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "body"))), lambda x: x["body"]), "\n").alias("body"))
     return head.join(body, key, "left").select(key, F.concat(F.col("head"), F.lit("\n"), F.coalesce(F.concat(F.col("body"), F.lit("\n")), F.lit("")), F.lit("E\n")).alias("text"))
 
 

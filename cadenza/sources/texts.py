@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import key_values, parse_clock
 from cadenza.operators.windows import newest
 from cadenza.sources.songs import lines
 
-STAMP = r"^\[(\d+):(\d{2})(?:[.:](\d+))?\]\s*(.*)$"
-CREDIT = r"(?i)^\s*(?:lyrics|words|music|written|composed|produced|text|musik)\b.*:"
+STAMP = r"^\s*\[(\d+):(\d+)(?:[.:](\d+))?\](.*)$"
+#: Lines that name who made a song: Chinese credits also without a colon, English ones only with one. Fixed values.
+CREDIT = r"(?i)^(?:(?:作词|作曲|编曲|制作人|混音|母带)(?:\s*[:：]|\s)|(?:lyrics?\s*by|lyricist|composer|arranger|producer|mixed\s*by|mastered\s*by)\s*[:：])"
+#: A line all in round brackets is a backing voice.
+BACKING = r"^\([^()]*\)$"
+#: How often a section comes, in its mark or behind it.
+TIMES = r"(?:[x×]\s*\d+|\d+\s*[x×])"
+SECTION = rf"(?i)^\[\s*([^\[\]]+?)(?:\s+{TIMES})?\s*\](?:\s*(?:{TIMES}|\[\s*{TIMES}\s*\]|\(\s*{TIMES}\s*\)))?$"
 
 
 def read_timed_lyrics(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -19,16 +30,35 @@ def read_timed_lyrics(df: DataFrame, key: str, text: str) -> DataFrame:
     fraction = F.when(part(3) != "", part(3).cast("double") / F.pow(F.lit(10.0), F.length(part(3)))).otherwise(0.0)
     found = lines(df, key, text).where(F.col("line").rlike(STAMP))
     timed = found.select(key, "line_no", (part(1).cast("double") * 60 + part(2).cast("double") + fraction).alias("start_s"), F.trim(part(4)).alias("line"))
-    return timed.where((F.col("line") != "") & ~F.col("line").rlike(CREDIT) & ~F.col("line").rlike(r"^\([^)]*\)$"))
+    return timed.where((F.col("line") != "") & ~F.col("line").rlike(CREDIT) & ~F.col("line").rlike(BACKING))
+
+
+def sections(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, section_no, mark, line_no, line): the lines by the section mark before them; no mark (section 0) before the first. Marks are compared in lower case, without how often a section comes."""
+    so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.when(F.trim("line").rlike(SECTION), F.lower(F.trim(F.regexp_extract(F.trim("line"), SECTION, 1))))
+    marked = lines(df, key, text).withColumn("own", mark).withColumn("section_no", F.count("own").over(so_far)).withColumn("mark", F.last("own", ignorenulls=True).over(so_far))
+    return marked.select(key, "section_no", "mark", "line_no", F.when(F.col("own").isNull(), F.col("line")).alias("line"))
 
 
 def read_plain_lyrics(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no, section, line): section marks in brackets name the lines after them; stamps and credits go."""
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.when(F.col("line").rlike(r"^\s*\[[^\]\d][^\]]*\]\s*$"), F.trim(F.regexp_extract("line", r"\[([^\]]*)\]", 1)))
-    marked = lines(df, key, text).withColumn("section", F.last(mark, ignorenulls=True).over(w)).where(mark.isNull())
-    clean = F.trim(F.regexp_replace("line", r"\[\d+:\d{2}(?:[.:]\d+)?\]", ""))
-    return marked.select(key, "line_no", "section", clean.alias("line")).where((F.col("line") != "") & ~F.col("line").rlike(CREDIT))
+    """(key, section_no, mark, line_no, line) of the sung lines.
+
+    Section marks go. A section with nothing but its mark stands for the first
+    one of that mark with lines, if that comes before; its lines keep their
+    line_no. Stamps at a line's start, credits, lines all in round brackets
+    and blanks are left out.
+    """
+    of = sections(df, key, text)
+    size = of.groupBy(key, "section_no", "mark").agg(F.count_if(F.trim("line") != "").alias("n"))
+    first = size.where("n > 0 and mark is not null").groupBy(key, "mark").agg(F.min("section_no").alias("source"))
+    stands = size.join(first, [key, "mark"], "left")
+    source = F.when(F.col("n") > 0, F.col("section_no")).when(F.col("source") < F.col("section_no"), F.col("source"))
+    stands = stands.select(key, "section_no", "mark", source.alias("source")).where("source is not null")
+    held = of.where("line is not null").select(key, F.col("section_no").alias("source"), "line_no", "line")
+    clean = F.trim(F.regexp_replace(F.trim("line"), r"^(?:\[\d+:\d+(?:[.:]\d+)?\]\s*)+", ""))
+    sung = stands.join(held, [key, "source"]).select(key, "section_no", "mark", "line_no", clean.alias("line"))
+    return sung.where((F.col("line") != "") & ~F.col("line").rlike(CREDIT) & ~F.col("line").rlike(BACKING))
 
 
 def read_want_list(df: DataFrame, line: str) -> DataFrame:
@@ -45,25 +75,37 @@ def delimiter_of(header: str) -> str:
     return "," if header.count(",") >= header.count(";") else ";"
 
 
-def read_delimited(spark: SparkSession, path: str, synonyms: dict[str, list[str]]) -> DataFrame:
-    """A small hand-kept list with a header: blank and # lines are dropped first, the delimiter is guessed from the header, columns are found by any of their names.
+def read_delimited(df: DataFrame, key: str, text: str, synonyms: dict[str, list[str]]) -> DataFrame:
+    """Hand-kept lists as whole texts: (key, row_no, the columns of `synonyms`), a row for each record after the header.
 
-    Cells beyond the header are left out, missing ones null.
+    Blank and # lines before a record are left out, the header is the first
+    record, and the comma separates if it is as frequent in it as the
+    semicolon. Quoted cells may hold separators, quotes and line breaks.
+    Columns are found by any of their names, blank cells are null, cells
+    beyond the header left out. Lists are small; each is read in one task.
     """
-    kept = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").rlike(r"^\s*#"))
-    header = kept.first()
-    if header is None:
-        return spark.createDataFrame([], ", ".join(f"`{k}` string" for k in synonyms))
-    delimiter = delimiter_of(header[0])
-    names = [n.strip().lower() for n in header[0].split(delimiter)]
-    row = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))), {"sep": delimiter, "quote": '"', "escape": '"'})
-    cells = kept.where(F.col("value") != header[0]).select(row.alias("r"))
+    kinds = ", ".join(["row_no int", *[f"`{k}` string" for k in synonyms]])
 
-    def column(wanted: list[str]) -> Column:
-        found = [F.nullif(F.trim(F.col("r")[f"c{i}"]), F.lit("")) for w in wanted for i, n in enumerate(names) if n == w]
-        return F.coalesce(*found) if found else F.lit(None).cast("string")
+    @F.pandas_udf(f"array<struct<{kinds.replace(' int', ':int').replace(' string', ':string')}>>")
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else list(_records(t, synonyms)) for t in texts], dtype=object)
 
-    return cells.select(*[column([k, *v]).alias(k) for k, v in synonyms.items()])
+    return df.select(key, F.explode(read(F.col(text))).alias("r")).select(key, "r.*")
+
+
+def _records(text: str, synonyms: dict[str, list[str]]) -> Iterator[tuple]:
+    kept, inside = [], False
+    for line in text.removeprefix("\ufeff").splitlines(keepends=True):
+        if inside or (line.strip() and not line.lstrip().startswith("#")):
+            kept.append(line)
+            inside ^= line.count('"') % 2 == 1
+    if not kept:
+        return
+    rows = csv.reader(io.StringIO("".join(kept), newline=""), delimiter=delimiter_of(kept[0]))
+    header = [n.strip().lower() for n in next(rows, [])]
+    places = [[header.index(n) for n in (k, *more) if n in header] for k, more in synonyms.items()]
+    for number, row in enumerate(rows, 1):
+        yield number, *[next((v for p in of if p < len(row) and (v := row[p].strip())), None) for of in places]
 
 
 def tsv_cell(x: Column) -> Column:
@@ -96,12 +138,18 @@ def read_log(df: DataFrame, key: str, order: str, line: str, mark: str) -> DataF
     return last.select(key, key_values(F.col("m")[line]).alias("marks"), F.col("e")[line].alias("last_error"))
 
 
-def read_results(spark: SparkSession, path: str, schema: str, name: str) -> DataFrame:
-    """The newest row of each name in append-only JSON lines; `line_no` gives the order within a file, later files come last."""
-    rows = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__n"))
+def read_results(df: DataFrame, file: str, text: str, schema: str, name: str) -> DataFrame:
+    """The newest row of each name in append-only JSON lines: of files in the order of `file`, the last line. Lines that are no JSON object with a name are left out."""
+    row = F.from_json("line", schema)
+    rows = lines(df, file, text).where(F.trim("line") != "").select(F.col(file).alias("__file"), F.col("line_no").alias("__n"), row.alias("r")).select("__file", "__n", "r.*").where(F.col(name).isNotNull())
     return newest(rows, [name], ["__file", "__n"]).drop("__file", "__n")
 
 
+def append_result(text: Column, row: Column) -> Column:
+    """A JSON-lines text with one more line."""
+    return F.concat(F.when(F.coalesce(text, F.lit("")) == "", "").when(text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n"))), F.to_json(row), F.lit("\n"))
+
+
 def read_mounts(df: DataFrame, line: str) -> DataFrame:
     """(source, target, fs) of a mount table; octal escapes are resolved."""
     cells = F.split(line, " ")

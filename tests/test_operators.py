@@ -62,7 +62,7 @@ def test_nearest_takes_the_later_of_a_tie(spark):
 def test_subtraction_keeps_measure(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 10.0), (1, 1, 2.0, 3.0), (1, 2, 20.0, 21.0)], "k int, i int, s double, e double")
     holes = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.5, 4.0), (1, 9.0, 12.0), (1, 21.0, 30.0)], "k int, s double, e double")
-    got = rows(J.subtract_intervals(df, holes, ["k"], "s", "e", row="i", least=0.1).select("i", "piece_start", "piece_end"))
+    got = rows(J.subtract_intervals(df, holes, ["k"], "s", "e", row="i", least=0.1, width=3.0).select("i", "piece_start", "piece_end"))
     assert got == [(0, 0.0, 1.0), (0, 4.0, 9.0), (2, 20.0, 21.0)]
 
 
@@ -145,17 +145,37 @@ def test_song_files(spark, tmp_path):
 
 
 def test_other_texts(spark, tmp_path):
-    (tmp_path / "list.csv").write_text("# note\n\nBand Name;Song Name;Link\nA;B;https://x\nC;\"D;E\";;extra\n")
-    got = texts.read_delimited(spark, str(tmp_path / "list.csv"), {"band": ["band name"], "title": ["song name"], "url": ["youtube link", "link"]})
-    assert rows(got) == [("A", "B", "https://x"), ("C", "D;E", None)]
+    lists = spark.createDataFrame([("f", '# note\n\nBand Name;Song Name;Link\nA;B;https://x\nBand Name;Song Name;Link\n# c\nC;"D;E\nF #";;extra\n'), ("g", "# only\n"), ("h", None)], "f string, t string")
+    got = texts.read_delimited(lists, "f", "t", {"band": ["band name"], "title": ["song name"], "url": ["youtube link", "link"]})
+    assert rows(got) == [("f", 1, "A", "B", "https://x"), ("f", 2, "Band Name", "Song Name", "Link"), ("f", 3, "C", "D;E\nF #", None)]
     anchors = spark.createDataFrame([(1, "# c\n0:10 | one\n0:05 | two\nend 1:00\nx | y")], "k int, t string")
     assert [(r.kind, r.at_s, r.problem) for r in texts.read_anchors(anchors, "k", "t").orderBy("line_no").collect()] == [("anchor", 10.0, None), ("anchor", 5.0, "order"), ("end", 60.0, None), ("anchor", None, "time")]
     log = spark.createDataFrame([(1, 1, "DONE a=1 b=x"), (1, 2, "an Error here"), (1, 3, "DONE a=2 a=3")], "k int, n int, l string")
     assert rows(texts.read_log(log, "k", "n", "l", "DONE")) == [(1, {"a": "3"}, "an Error here")]
     mounts = spark.createDataFrame([("//h/s /mnt/a\\040b cifs rw 0 0",)], "l string")
     assert rows(texts.read_mounts(mounts, "l")) == [("//h/s", "/mnt/a b", "cifs")]
-    (tmp_path / "r.jsonl").write_text('{"name":"a","v":1}\n{"name":"b","v":2}\n{"name":"a","v":3}\n')
-    assert rows(texts.read_results(spark, str(tmp_path / "r.jsonl"), "name string, v int", "name")) == [("a", 3), ("b", 2)]
+    logs = spark.createDataFrame([("2", '{"name":"a","v":3}\nbroken {\n'), ("1", '{"name":"a","v":1}\n{"name":"b","v":2}\n{"name":"a","v":5}\n{"v":1}'), ("0", None)], "f string, t string")
+    assert rows(texts.read_results(logs, "f", "t", "name string, v int", "name")) == [("a", 3), ("b", 2)]
+    again = logs.where("f = '2'").select(texts.append_result(F.col("t"), F.struct(F.lit("b").alias("name"), F.lit(9).alias("v"))).alias("t")).first().t
+    assert again.endswith('broken {\n{"name":"b","v":9}\n')
+
+
+def test_written_songs_read_back(spark):
+    song = "#TITLE:T\n#BPM:100\nP1\n: 0 2 5  So\n: 2 2 5 ng\n- 9\n* 10 4 7 on\nP2\n: 0 2 3 la\n- 5\nF 8 2 1 \nE\n"
+    df = spark.createDataFrame([(1, song), (2, "#TITLE:U\n: 3 1 0 x\n- 8\n: 9 1 0 y"), (3, "#TITLE:none")], "k int, t string")
+    what = ["k", "part", "type", "beat", "length", "pitch", "word"]
+    notes = songs.read_notes(df, "k", "t")
+    written = songs.write_text(songs.tags(df, "k", "t"), notes, "k", ["TITLE"])
+    again = songs.read_notes(written, "k", "text")
+    assert rows(notes.select(*what)) == rows(again.select(*what)) and notes.select("k", "part", "lyric_line").distinct().count() == again.select("k", "part", "lyric_line").distinct().count()
+    text = {r.k: r.text for r in written.collect()}
+    assert "P1\n: 0 2 5  So\n: 2 2 5 ng\n- 4\n* 10" in text[1] and "- 2\nF 8" in text[1] and text[3] == "#TITLE:none\nE\n"
+
+
+def test_sections_and_credits(spark):
+    song = "Intro line\n[Chorus x2]\nHey (oh)\n(ooh)\nComposer: X\n[Verse 1]\nOne\n[Chorus]\n\n[Bridge]\n[chorus] (2x)\nProducer of my dreams\n[0:12.5] [0:13] Stamped\n"
+    got = texts.read_plain_lyrics(spark.createDataFrame([(1, song), (2, None), (3, "")], "k int, t string"), "k", "t").orderBy("section_no", "line_no")
+    assert [(r.mark, r.line) for r in got.collect()] == [(None, "Intro line"), ("chorus", "Hey (oh)"), ("verse 1", "One"), ("chorus", "Hey (oh)"), ("chorus", "Producer of my dreams"), ("chorus", "Stamped")]
 
 
 def test_levels_in_db(spark):

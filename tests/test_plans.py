@@ -48,12 +48,12 @@ def test_words_of_all_scripts_are_folded(spark, tmp_path):
     want = {"Łódź ": "łodz", "ÅNGSTRÖM": "angstrom", "Привет, мир": "приветмир", "すし": "すし", "dîner": "diner", "it's": "its", "~": ""}
     notes = [(1, w) for w in want] * 2 + [(2, None)]
     d = write(spark, tmp_path, notes=(notes, "song_id long, word string"))
-    assert sorted((r.word, r.folded) for r in kernels.QUERIES["f1_fold_all_words"](spark, d).collect()) == sorted(want.items())
+    assert sorted((r.word, r.folded) for r in kernels.QUERIES["f1_fold_word"](spark, d).collect()) == sorted(want.items())
 
 
 def test_union_takes_all_fixes(spark, tmp_path):
     fixes = [(1, "Odd", "one"), (2, "Even", "two"), (3, "odd", "one")]
     info = [("ODD", "One"), ("even", "TWO"), ("New", "three"), ("NEW", "three")]
     d = write(spark, tmp_path, genre_song_fixes=(fixes, "fix_id long, band string, title string"), song_info=(info, "artist string, title string"))
-    got = sorted(tuple(r) for r in relations.QUERIES["x2_union_all_fixes"](spark, d).select("band", "title").collect())
+    got = sorted(tuple(r) for r in relations.QUERIES["x2_union_distinct"](spark, d).select("band", "title").collect())
     assert got == [("Even", "two"), ("NEW", "three"), ("Odd", "one"), ("odd", "one")]
