@@ -100,7 +100,7 @@ def s25(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).select("song_id", reason.alias("reason"), F.size(H.split_header(text)[1]).alias("header_lines"))
 
 
-@query("p12_looks_like_song", r"SELECT doc_id, regexp_matches(left(text, 8192), '(?m)^\s*#[A-Za-z0-9]+:') AND regexp_matches(left(text, 8192), '(?m)^[:*FRG]\s+-?\d') AS song FROM documents WHERE text IS NOT NULL")
+@query("pred12_looks_like_song", r"SELECT doc_id, regexp_matches(left(text, 8192), '(?m)^\s*#[A-Za-z0-9]+:') AND regexp_matches(left(text, 8192), '(?m)^[:*FRG]\s+-?\d') AS song FROM documents WHERE text IS NOT NULL")
 def p12(spark: SparkSession, d: str) -> DataFrame:
     """A tag and a note row among the first 8,192 letters, which is the rule."""
     head = F.substring("text", 1, 8192)
@@ -113,7 +113,7 @@ def r4(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).select("song_id", H.with_comment(F.col("text"), F.lit("Score: 9")).alias("text"))
 
 
-@query("p22_play_range", rf"""WITH {L}, {T_}, m AS (SELECT song_id, tag, value, try_cast(replace(value, ',', '.') AS DOUBLE) AS v FROM h WHERE tag IN ('GAP', 'BPM', 'START', 'END'))
+@query("pred22_play_range", rf"""WITH {L}, {T_}, m AS (SELECT song_id, tag, value, try_cast(replace(value, ',', '.') AS DOUBLE) AS v FROM h WHERE tag IN ('GAP', 'BPM', 'START', 'END'))
 SELECT song_id, tag, CASE WHEN v IS NULL THEN '#START:' || value WHEN v + 0.5 < 0 OR v + 0.5 > 297 THEN NULL ELSE '#START:' || regexp_replace(regexp_replace(printf('%.3f', v + 0.5), '(\.\d*?)0+$', '\1'), '\.$', '') END AS start_line, CASE WHEN v IS NULL THEN '#END:' || value WHEN v + 500 < 700 THEN NULL ELSE '#END:' || round_even(v + 500, 0)::BIGINT END AS end_line FROM m WHERE v IS NULL OR v <> 0""")
 def p22(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of headers as a START and as an END, moved by half a second."""

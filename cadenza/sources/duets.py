@@ -108,10 +108,31 @@ def artist_pair(artist: Column) -> Column:
     return F.when(F.size(names) == 2, names)
 
 
+MARK = r"(?i)^\s*(P\s*[12](?:\s*\+\s*P\s*[12])?)\s*:\s*"
+
+
 def singer_mark(line: Column) -> tuple[Column, Column]:
-    """Who sings a lyric line marked like `P1: text`, `(Both) text` or `Name: text` is left to headers; here the mark P1, P2 or both, and the text without it."""
-    mark = F.upper(F.regexp_extract(line, r"(?i)^\s*[\[(]?\s*(P1|P2|both|duet)\s*[\])]?\s*:\s*", 1))
-    singers = F.when(mark.isin("P1", "P2"), mark).when(mark != "", "P1P2")
-    return singers, F.when(singers.isNotNull(), F.regexp_replace(line, r"(?i)^\s*[\[(]?\s*(?:P1|P2|both|duet)\s*[\])]?\s*:\s*", "")).otherwise(line)
+    """Who a lyric line marked `P1:`, `P2:` or `P1+P2:` belongs to (P1, P2, both; null without a mark), and the line without the mark."""
+    mark = F.upper(F.regexp_replace(F.regexp_extract(line, MARK, 1), r"\s", ""))
+    return F.when(mark.contains("+"), "both").when(mark != "", mark), F.when(mark != "", F.regexp_replace(line, MARK, "")).otherwise(line)
+
+
+#: Words that name a section and no singer. Fixed values.
+SECTION_WORDS = "verse chorus pre-chorus prechorus post-chorus postchorus bridge intro outro hook refrain interlude skit breakdown instrumental part strophe spoken drop segue coda break vamp rap solo chant ad-libs produced zwischenspiel".split()
+
+
+def header_singers(inside: Column) -> Column:
+    """The names in a section header's text: behind its colon, or all of it if it begins with no word for a section."""
+    first = F.regexp_replace(F.lower(F.get(F.split(F.trim(inside), r"\s+"), 0)), r"[0-9:]+$", "")
+    part = F.when(inside.contains(":"), F.regexp_extract(inside, r"^[^:]*:(?s:(.*))$", 1)).when(~first.isin(SECTION_WORDS), inside).otherwise("")
+    names = F.split(F.translate(part, "()", ",,"), r"(?i)\s*(?:,|&|\+|/|\band\b|\bwith\b|\bfeat\.?|\bft\.?)\s*")
+    return F.filter(F.transform(names, lambda n: F.regexp_replace(n, r"^[ .]+|[ .]+$", "")), lambda n: n != "")
 
 
+def sung_by(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line_no, line, singer) of the lines under section headers: the header's singer if it names just one (not `Both`), null else."""
+    so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    header = F.when(F.trim("line").rlike(r"^\[[^\[\]]*\]$") & ~F.trim("line").rlike(r"^\[\d+:\d+"), header_singers(F.regexp_extract(F.trim("line"), r"^\[([^\[\]]*)\]$", 1)))
+    marked = lines(df, key, text).withColumn("own", header).withColumn("names", F.last("own", ignorenulls=True).over(so_far))
+    singer = F.when((F.size("names") == 1) & (F.lower(F.get("names", 0)) != "both"), F.get("names", 0))
+    return marked.where(F.col("own").isNull() & (F.trim("line") != "")).select(key, "line_no", "line", singer.alias("singer"))
