@@ -177,19 +177,6 @@ def f27(spark: SparkSession, d: str) -> DataFrame:
     return n.select("pitch", S.midi_name(F.col("pitch") + 48).alias("name"), S.hz_midi(hz).alias("midi"))
 
 
-@query("f28_fold_octaves", "SELECT DISTINCT pitch, CASE WHEN abs(pitch - 5) > 7 THEN pitch - 12 * round_even((pitch - 5) / 12.0, 0) ELSE pitch END::DOUBLE AS folded FROM notes WHERE pitch IS NOT NULL")
-def f28(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "notes").where("pitch is not null").select("pitch").distinct()
-    return n.select("pitch", S.fold_octaves(F.col("pitch"), F.lit(5), 7).cast("double").alias("folded"))
-
-
-@query("f30_pull_unsure", "SELECT DISTINCT pitch, CASE WHEN pitch % 2 = 0 THEN round_even(pitch + least(3.0, greatest(-3.0, (6 - pitch) / 2.0)), 0) ELSE pitch END::DOUBLE AS pulled FROM notes WHERE pitch IS NOT NULL")
-def f30(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "notes").where("pitch is not null").select("pitch").distinct()
-    sure = F.when(F.col("pitch") % 2 == 0, 0.1).otherwise(0.9)
-    return n.select("pitch", S.pull_unsure(F.col("pitch"), F.lit(6), sure).cast("double").alias("pulled"))
-
-
 @query("f31_nearest_in_key", """WITH o AS (SELECT unnest([0, -1, 1, -2, 2]) AS d, unnest([0, 1, 2, 3, 4]) AS r), p AS (SELECT DISTINCT pitch FROM notes WHERE pitch IS NOT NULL)
 SELECT pitch, arg_min(pitch + d, r) AS quantised FROM p, o WHERE ((pitch + d - 2) % 12 + 12) % 12 IN (0, 2, 4, 5, 7, 9, 11) GROUP BY pitch""")
 def f31(spark: SparkSession, d: str) -> DataFrame:
