@@ -45,6 +45,28 @@ def held_notes(df: DataFrame, keys: list[str], order: str, value: str, *, penalt
     return df.select(*keys, order, value).groupBy(*keys).applyInPandas(one, f"{kinds}, part int, first long, last long, level double")
 
 
+def held_pitches(df: DataFrame, keys: list[str], at: str, hz: str, confidence: str, *, sure: float = 0.2, penalty: float = 40.0, part_s: float = 0.12, hop_s: float = 0.016, most: int = 6) -> DataFrame:
+    """(keys, part, first_s, last_s, level): a pitch track in parts of about one level, in semitones.
+
+    Frames of too little confidence have no say. Octaves are folded toward the
+    median first; parts last `part_s` at least.
+    """
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    least = max(1, int(np.ceil(part_s / hop_s - 1e-6)))
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group[(group[confidence] > sure) & (group[hz] > 0)].sort_values(at)
+        midi = 12 * np.log2(group[hz].to_numpy(float) / 440.0) + 69
+        if len(midi):
+            midi = midi - 12 * np.round((midi - np.median(midi)) / 12)
+        cuts = best_segments(midi, penalty, least, most) if len(midi) >= least else [0] * bool(len(midi))
+        ends = [*cuts[1:], len(midi)]
+        times = group[at].to_numpy(float)
+        return pd.DataFrame([[*(group[k].iloc[0] for k in keys), p, times[a], times[b - 1], float(np.median(midi[a:b]))] for p, (a, b) in enumerate(zip(cuts, ends, strict=False))], columns=[*keys, "part", "first_s", "last_s", "level"])
+
+    return df.select(*keys, at, hz, confidence).groupBy(*keys).applyInPandas(one, f"{kinds}, part int, first_s double, last_s double, level double")
+
+
 def quiet_stretches(df: DataFrame, keys: list[str], frame: str, db: str, below: float, least: int) -> DataFrame:
     """(keys, first, last): runs of at least `least` neighbouring frames under a level."""
     quiet = df.where(F.col(db) < below)
@@ -90,13 +112,16 @@ def lag_of(a: np.ndarray, b: np.ndarray, most: int) -> tuple[float, float]:
     return lag + shift, float((u[:n] * v[:n]).sum() / scale) if scale > 0 else 0.0
 
 
-def find_lag(df: DataFrame, keys: list[str], order: str, a: str, b: str, most: int) -> DataFrame:
-    """(keys, lag, correlation) of two signals by key."""
+def find_lag(df: DataFrame, keys: list[str], order: str, a: str, b: str, most: int, *, frame: int | None = None) -> DataFrame:
+    """(keys, lag, correlation) of two signals by key, or of their onsets by frames of `frame` values; nulls where one of them doesn't change."""
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order).fillna({a: 0.0, b: 0.0})
-        lag, r = lag_of(group[a].to_numpy(float), group[b].to_numpy(float), most)
+        x, y = (group[c].to_numpy(float) if frame is None else onsets(group[c].to_numpy(float), frame) for c in (a, b))
+        if min(len(x), len(y)) < 2 or x.std() == 0 or y.std() == 0:
+            return pd.DataFrame([[*(group[k].iloc[0] for k in keys), None, None]], columns=[*keys, "lag", "correlation"])
+        lag, r = lag_of(x, y, most)
         return pd.DataFrame([[*(group[k].iloc[0] for k in keys), lag, r]], columns=[*keys, "lag", "correlation"])
 
     return df.select(*keys, order, a, b).groupBy(*keys).applyInPandas(one, f"{kinds}, lag double, correlation double")
@@ -145,45 +170,152 @@ def assign_voices(df: DataFrame, keys: list[str], order: str, vector: str, fixed
     return df.select(*keys, order, vector, fixed).groupBy(*keys).applyInPandas(one, f"{kinds}, `{order}` {df.schema[order].dataType.simpleString()}, voice int, separation double")
 
 
-def forced_alignment(logp: np.ndarray, tokens: list[int], blank: int = 0) -> list[tuple[int, int]] | None:
-    """The likeliest path of tokens through frames (blanks between, repeats held): each token's first and last frame; None if it can't fit.
-
-    States are blank, token, blank, token, ..., blank; a step stays, moves on,
-    or leaves out a blank between different tokens.
+class Graph:
+    """States with the emission column of each, weighed moves between them, and what beginning and ending in each costs."""
+
+    def __init__(self) -> None:
+        self.column: list[int] = []
+        self.moves: dict[tuple[int, int], float] = {}
+        self.begin: dict[int, float] = {}
+        self.end: dict[int, float] = {}
+
+    def state(self, column: int) -> int:
+        self.column.append(column)
+        self.move(len(self.column) - 1, len(self.column) - 1)
+        return len(self.column) - 1
+
+    def move(self, a: int, b: int, cost: float = 0.0) -> None:
+        self.moves[a, b] = min(cost, self.moves.get((a, b), np.inf))
+
+    def best_path(self, emissions: np.ndarray) -> list[int] | None:
+        """The state of each row on the best path, None if there is none. Of equally good moves the one from the lowest state counts."""
+        pairs = sorted(self.moves, key=lambda m: (m[1], m[0]))
+        source, target = np.array(pairs).T
+        cost = np.array([self.moves[p] for p in pairs])
+        first = np.flatnonzero(np.append(True, target[1:] != target[:-1]))  # every state can stay, so each has a move into it
+        score = np.full(len(self.column), -np.inf)
+        for s, c in self.begin.items():
+            score[s] = -c
+        score += emissions[0, self.column]
+        back = np.zeros((len(emissions), len(score)), np.int32)
+        place = np.arange(len(source))
+        for t in range(1, len(emissions)):
+            value = score[source] - cost
+            top = np.maximum.reduceat(value, first)
+            back[t] = source[np.minimum.reduceat(np.where(value == np.repeat(top, np.diff(np.append(first, len(value)))), place, len(value) - 1), first)]
+            score = top + emissions[t, self.column]
+        final = max(self.end, key=lambda s: (score[s] - self.end[s], -s), default=None)
+        if final is None or score[final] == -np.inf:
+            return None
+        path = [final]
+        for t in range(len(emissions) - 1, 0, -1):
+            path.append(int(back[t, path[-1]]))
+        return path[::-1]
+
+
+def sung_graph(lines: list[list[list[int]]], blank: int, filler: int | None, *, filler_enter: float, end_penalty: float | None, line_skip: list[float | None] | None, skip_most: int) -> tuple[Graph, list[int], dict[int, int]]:
+    """The graph of lines of words of tokens, the state of each token, and which line each filler state stands before.
+
+    Between neighbouring tokens a blank may sit, and must between equal ones.
+    A filler before each line and after the last takes singing that the lyrics
+    don't have. With `end_penalty` the path may end after any word at that
+    cost for each token left out; a line with a cost in `line_skip` may be
+    passed over at that cost for each of its tokens, up to `skip_most` lines
+    at once.
     """
-    frames, n = len(logp), len(tokens)
-    if not n:
-        return []
-    states = np.full(2 * n + 1, blank)
-    states[1::2] = tokens
-    jump = np.zeros(len(states), bool)
-    jump[3::2] = states[3::2] != states[1:-2:2]
-    score = np.full(len(states), -np.inf)
-    score[0], score[1] = logp[0, blank], logp[0, tokens[0]]
-    back = np.zeros((frames, len(states)), np.int8)
-    for t in range(1, frames):
-        options = np.stack([score, np.concatenate([[-np.inf], score[:-1]]), np.where(jump, np.concatenate([[-np.inf, -np.inf], score[:-2]]), -np.inf)])
-        back[t] = options.argmax(0)
-        score = options.max(0) + logp[t, states]
-    at = len(states) - 1 if score[-1] >= score[-2] else len(states) - 2
-    if score[at] == -np.inf:
+    graph, token_state, token_of = Graph(), [], []
+    gap = graph.state(blank)
+    graph.begin[gap] = 0.0
+    line_start, line_gap, fillers = [], [gap], {}
+    total = sum(len(w) for line in lines for w in line)
+    for line in lines:
+        line_start.append(len(token_state))
+        for word in line:
+            for token in word:
+                here = graph.state(token)
+                graph.move(gap, here)
+                if not token_state:
+                    graph.begin[here] = 0.0
+                elif token_of[-1] != token:
+                    graph.move(token_state[-1], here)
+                token_state.append(here)
+                token_of.append(token)
+                after = graph.state(blank)
+                graph.move(here, after)
+                gap = after
+            left = total - len(token_state)
+            if left == 0 or end_penalty is not None:
+                for s in (token_state[-1], gap):
+                    graph.end[s] = (end_penalty or 0.0) * left
+        line_gap.append(gap)
+    starts = [token_state[i] for i in line_start]
+    if filler is not None:
+        for k in range(len(lines) + 1):
+            s = graph.state(filler)
+            fillers[s] = k
+            if k == 0:
+                graph.begin[s] = filler_enter
+            else:
+                graph.move(line_gap[k], s, filler_enter)
+                graph.move(token_state[(line_start[k] if k < len(lines) else total) - 1], s, filler_enter)
+            if k < len(lines):
+                graph.move(s, line_gap[k])
+            else:
+                graph.end[s] = 0.0
+    if line_skip is not None:
+        cost = [np.inf if c is None else c * sum(map(len, line)) for c, line in zip(line_skip, lines, strict=True)]
+        for j in range(len(lines)):
+            for i in range(max(0, j - skip_most), j):
+                if np.isfinite(skipped := float(sum(cost[i:j]))):
+                    graph.move(line_gap[i], line_gap[j], skipped)
+                    graph.move(line_gap[i], starts[j], skipped)
+                    if i == 0:
+                        graph.begin[line_gap[j]] = min(skipped, graph.begin.get(line_gap[j], np.inf))
+    return graph, token_state, fillers
+
+
+def align_sung(logp: np.ndarray, lines: list[list[list[int]]], *, blank: int = 0, filler_beta: float | None = None, filler_enter: float = 0.0, end_penalty: float | None = None, line_skip: list[float | None] | None = None, skip_most: int = 4) -> tuple[list[tuple[int, int, float] | None], list[tuple[int, int, int]]] | None:
+    """For each token its first and last frame and mean probability (None if it is left out), and the fillers used as (first frame, last frame, line that it stands before); None if the tokens don't fit."""
+    tokens = [t for line in lines for w in line for t in w]
+    if not tokens:
+        return [], []
+    filler, emissions = None, logp
+    if filler_beta is not None:
+        others = np.delete(logp, blank, axis=1)
+        emissions = np.column_stack([logp, np.maximum(logp[:, blank], others.max(1) - filler_beta)])
+        filler = logp.shape[1]
+    graph, token_state, fillers = sung_graph(lines, blank, filler, filler_enter=filler_enter, end_penalty=end_penalty, line_skip=line_skip, skip_most=skip_most)
+    path = graph.best_path(emissions) if len(logp) else None
+    if path is None:
         return None
-    path = np.empty(frames, int)
-    for t in range(frames - 1, -1, -1):
-        path[t] = at
-        at -= back[t, at]
-    return [(int(np.flatnonzero(path == 2 * k + 1)[0]), int(np.flatnonzero(path == 2 * k + 1)[-1])) for k in range(n)]
+    at: dict[int, list[int]] = {}
+    for t, s in enumerate(path):
+        at.setdefault(s, []).append(t)
+    spans = [(f[0], f[-1], float(np.exp(logp[f, token]).mean())) if (f := at.get(s)) else None for s, token in zip(token_state, tokens, strict=True)]
+    return spans, sorted((at[s][0], at[s][-1], k) for s, k in fillers.items() if s in at)
 
 
-def align_tokens(emissions: DataFrame, targets: DataFrame, key: str) -> DataFrame:
-    """(key, token_no, first, last): emissions (key, frame, logp array) aligned with targets (key, token_no, token)."""
+def align_tokens(emissions: DataFrame, targets: DataFrame, key: str, **options: float) -> DataFrame:
+    """(key, token_no, first, last, probability): emissions (key, frame, logp array) aligned with targets (key, line, word, token_no, token); tokens left out have nulls. Songs that can't fit give no rows."""
     kind = emissions.schema[key].dataType.simpleString()
 
     def one(e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        names = [key, "token_no", "first", "last", "probability"]
         if not len(e) or not len(t):
-            return pd.DataFrame({key: [], "token_no": [], "first": [], "last": []})
+            return pd.DataFrame({n: [] for n in names})
         e, t = e.sort_values("frame"), t.sort_values("token_no")
-        spans = forced_alignment(np.stack([np.asarray(x, float) for x in e["logp"]]), [int(x) for x in t["token"]]) or []
-        return pd.DataFrame([(e[key].iloc[0], int(n), a, b) for n, (a, b) in zip(t["token_no"], spans, strict=False)], columns=[key, "token_no", "first", "last"])
+        lines = [[list(w["token"].astype(int)) for _, w in of.groupby("word", sort=False)] for _, of in t.groupby("line", sort=False)]
+        found = align_sung(np.stack([np.asarray(x, float) for x in e["logp"]]), lines, **options)
+        spans = found[0] if found else []
+        return pd.DataFrame([(e[key].iloc[0], int(n), *(s or (None, None, None))) for n, s in zip(t["token_no"], spans, strict=False)], columns=names).astype({"first": "Int64", "last": "Int64", "probability": "Float64"})
+
+    return emissions.groupBy(key).cogroup(targets.groupBy(key)).applyInPandas(one, f"`{key}` {kind}, token_no long, first long, last long, probability double")
+
 
-    return emissions.groupBy(key).cogroup(targets.groupBy(key)).applyInPandas(one, f"`{key}` {kind}, token_no long, first long, last long")
+def onsets(samples: np.ndarray, frame: int) -> np.ndarray:
+    """How much the log energy rises from frame to frame, never below 0."""
+    whole = len(samples) // frame
+    if whole < 2:
+        return np.zeros(0)
+    energy = np.square(samples[: whole * frame].reshape(whole, frame)).mean(1)
+    return np.maximum(np.diff(np.log(energy + 1e-10)), 0.0)

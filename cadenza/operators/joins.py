@@ -170,3 +170,26 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     starts = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "__part int, __before long")
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return spark.createDataFrame([], kind).drop("__part").withColumn(out, F.lit(0)) if not sizes else ranged.join(F.broadcast(starts), "__part").withColumn(out, (F.col("__before") + within).cast("int")).drop("__part", "__before")
+
+
+def singers(df: DataFrame, keys: list[str], order: str, mark: str, header: str, names: tuple[str, str], voice: Column) -> DataFrame:
+    """`df` with `singer` and `source`: a line's own mark (P1, P2, both), else the part of the header's name, else its voice (1: P2). In songs without any mark the first solo line is P1's, else parts are swapped."""
+    by_name = F.when(F.col(header) == names[0], "P1").when(F.col(header) == names[1], "P2")
+    own = df.withColumn("singer", F.coalesce(F.col(mark), by_name, F.when(voice == 1, "P2").otherwise("P1")))
+    own = own.withColumn("source", F.when(F.col(mark).isNotNull(), "marks").when(by_name.isNotNull(), "header").otherwise("voice"))
+    w = Window.partitionBy(*keys)
+    first = F.min(F.when(F.col("singer") != "both", F.struct(order, "singer"))).over(w)["singer"]
+    swapped = ~F.max(F.col(mark).isNotNull()).over(w) & (first == "P2")
+    other = F.when(F.col("singer") == "P1", "P2").when(F.col("singer") == "P2", "P1").otherwise(F.col("singer"))
+    return own.withColumn("__swap", F.coalesce(swapped, F.lit(False))).withColumn("singer", F.when(F.col("__swap"), other).otherwise(F.col("singer"))).drop("__swap")
+
+
+def pick_file(folders: DataFrame, files: DataFrame, folder: str, stem: str, name: str, extensions: list[str]) -> DataFrame:
+    """`folders` with `status` and `name`: the file of one of the extensions named like the stem, else the only one (`found`), else nothing (`none`, `ambiguous`): never a guess."""
+    extension = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
+    of = files.where(extension.isin(extensions)).join(folders.select(folder, stem), folder)
+    exact = F.min(F.when(F.regexp_replace(name, r"\.[^.]*$", "") == F.col(stem), F.col(name)))
+    counted = of.groupBy(folder).agg(F.count(F.lit(1)).alias("__n"), exact.alias("__exact"), F.min(name).alias("__any"))
+    one = F.coalesce("__exact", F.when(F.col("__n") == 1, F.col("__any")))
+    status = F.when(F.col("__n").isNull(), "none").when(one.isNotNull(), "found").otherwise("ambiguous")
+    return folders.join(counted, folder, "left").withColumn("status", status).withColumn(name, one).drop("__n", "__exact", "__any")

@@ -71,12 +71,6 @@ def a16(spark: SparkSession, d: str) -> DataFrame:
     return share.join(runs, TAKE, "left").select(*TAKE, "heard", F.coalesce("longest_unheard", F.lit(0)).alias("longest_unheard"))
 
 
-@query("k10_held_notes")
-def k10(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "notes").select("song_id", F.coalesce("voice", F.lit("")).alias("voice"), "note_seq", "pitch").distinct()
-    return signal.held_notes(n, ["song_id", "voice"], "note_seq", "pitch")
-
-
 _FRAMES = """n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events), f AS (SELECT user_id, i // 4 AS frame, 10 * log10(avg(value * value) + 1e-12) AS db FROM n GROUP BY ALL HAVING count(*) = 4)"""
 
 

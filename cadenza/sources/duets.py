@@ -104,7 +104,7 @@ def with_singers(header: Column, first: Column, second: Column) -> Column:
 
 def artist_pair(artist: Column) -> Column:
     """The two names of an artist field that holds just two, else null."""
-    names = F.filter(F.transform(F.split(artist, r"(?i)\s*(?:,|&|\+|/|\bfeat\.?|\bft\.?|\band\b|\bund\b|\bmit\b|\bwith\b)\s*"), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split(artist, r"(?i)\s*(?:,|&|\+|/|\bfeat\.?|\bft\.?|\band\b|\bund\b|\bmit\b|\bwith\b)\s*"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(names) == 2, names)
 
 
