@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Names of the pitch classes. Fixed values.
 NOTES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
 MAJOR_STEPS, MINOR_STEPS = [0, 2, 4, 5, 7, 9, 11], [0, 2, 3, 5, 7, 8, 10]
+#: What people write for no genre. Fixed values.
 PLACEHOLDERS = ["", "unknown", "no idea", "other", "none", "misc"]
 
 
@@ -176,3 +177,10 @@ def octave_distance(a: Column, b: Column) -> Column:
     d = F.pmod(a - b, F.lit(12))
     return F.least(d, 12 - d)
 
+
+def ladder(x: Column, steps: list[tuple[float, str]], otherwise: str) -> Column:
+    """The name of the first step, from the highest on, that a value reaches."""
+    out = None
+    for least, name in sorted(steps, reverse=True):
+        out = F.when(x >= least, name) if out is None else out.when(x >= least, name)
+    return F.lit(otherwise) if out is None else out.otherwise(otherwise)

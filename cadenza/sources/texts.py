@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -160,3 +161,63 @@ def read_mounts(df: DataFrame, line: str) -> DataFrame:
         return x
 
     return df.where(F.size(cells) >= 3).select(unescape(F.get(cells, 0)).alias("source"), unescape(F.get(cells, 1)).alias("target"), F.get(cells, 2).alias("fs"))
+
+
+def lyrics_lines(df: DataFrame, key: str, given: Column) -> DataFrame:
+    """(key, n from 1, line) of arrays of lines: those that hold a letter or a digit, trimmed; n counts all."""
+    each = df.select(key, F.posexplode(given).alias("n", "line"))
+    return each.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select(key, (F.col("n") + 1).alias("n"), F.trim("line").alias("line"))
+
+
+def read_marks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line_no, note_seq, kind, text) of `line.note<TAB>type<TAB>text` lines; other lines (band, title) are left out."""
+    parts = F.split("line", "\t", -1)
+    place = F.get(parts, 0)
+    found = lines(df, key, text).where(place.rlike(r"^-?\d+\.-?\d+$"))
+    number = lambda i: F.get(F.split(place, r"\."), i).cast("int")
+    return found.select(key, number(0).alias("line_no"), number(1).alias("note_seq"), F.get(parts, 1).alias("kind"), F.coalesce(F.get(parts, 2), F.lit("")).alias("text"))
+
+
+def markdown_tables(df: DataFrame, section: str, order: list[str], columns: dict[str, Column]) -> DataFrame:
+    """(section, body): a Markdown table for each section, rows in order. Sections are reports of some rows each."""
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *columns.values()), F.lit(" |"))
+    head = f"| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n"
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, cells.alias("__line")))), lambda x: x["__line"]), "\n")
+    return df.groupBy(section).agg(F.concat(F.lit(head), rows).alias("body"))
+
+
+def pack(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, content): each text as `key.txt` in an archive of its own, behind a README."""
+
+    @F.pandas_udf("binary")
+    def zipped(keys: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for k, v in zip(keys, values, strict=True):
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as archive:
+                archive.writestr("README.txt", "read me")
+                archive.writestr(f"{k}.txt", (v or "").encode("utf-8", "surrogatepass"))
+            out.append(held.getvalue())
+        return pd.Series(out, dtype=object)
+
+    return df.select(key, zipped(F.col(key), F.col(text)).alias("content"))
+
+
+def song_of_archive(df: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, name, text): the first .txt of each archive that is no README; none for what is no archive."""
+
+    @F.pandas_udf("name string, content binary")
+    def first(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in values:
+            try:
+                with zipfile.ZipFile(io.BytesIO(v or b"")) as archive:
+                    names = [n for n in archive.namelist() if n.lower().endswith(".txt") and "readme" not in n.lower()]
+                    out.append((names[0], archive.read(names[0])) if names else (None, None))
+            except zipfile.BadZipFile:
+                out.append((None, None))
+        return pd.DataFrame(out, columns=["name", "content"])
+
+    found = df.select(key, first(F.col(content)).alias("f")).where("f.name is not null")
+    decoded = F.decode("f.content", "UTF-8")
+    return found.select(key, F.col("f.name").alias("name"), decoded.alias("text"))

@@ -5,7 +5,7 @@ import pytest
 
 from tests import oracle
 
-MODULES = ["cadenza.plans.sequences", "cadenza.plans.relations", "cadenza.plans.scans", "cadenza.plans.kernels", "cadenza.plans.more", "cadenza.plans.files", "cadenza.plans.wordings", "cadenza.plans.notes", "cadenza.plans.lyrics", "cadenza.plans.rules", "cadenza.plans.training_core"]
+MODULES = ["cadenza.plans.sequences", "cadenza.plans.relations", "cadenza.plans.scans", "cadenza.plans.kernels", "cadenza.plans.more", "cadenza.plans.files", "cadenza.plans.wordings", "cadenza.plans.notes", "cadenza.plans.lyrics", "cadenza.plans.rules", "cadenza.plans.media", "cadenza.plans.training_core"]
 QUERIES = {name: q for m in MODULES for name, q in importlib.import_module(m).QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in importlib.import_module(m).SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.DATA), reason="no test data")
