@@ -58,7 +58,26 @@ def osa(a: str, b: str) -> int:
 
 def similar_words(a: str, b: str, least: float = 0.7) -> bool:
     """Equal, or of like length and a ratio of at least `least`."""
-    return a == b or bool(a and b) and min(len(a), len(b)) / max(len(a), len(b)) >= 0.5 and block_ratio(a, b) >= least
+    if a == b or not a or not b or min(len(a), len(b)) / max(len(a), len(b)) < 0.5:
+        return a == b
+    blocks = SequenceMatcher(None, a, b)
+    return blocks.real_quick_ratio() >= least and blocks.quick_ratio() >= least and blocks.ratio() >= least
+
+
+class Alike:
+    """similar_words with its answers kept, up to 200,000 of them: songs share most of their words."""
+
+    def __init__(self, least: float = 0.7):
+        self.least = least
+        self.known: dict[tuple[str, str], bool] = {}
+
+    def __call__(self, a: str, b: str) -> bool:
+        found = self.known.get((a, b))
+        if found is None:
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            found = self.known[a, b] = similar_words(a, b, self.least)
+        return found
 
 
 def _each(f, kind: T.DataType):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -11,18 +12,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.similarity import similar_words
+from cadenza.functions.similarity import Alike, similar_words
 
 
-def likeness(a: list[str], b: list[str], least: float) -> np.ndarray:
+def likeness(a: list[str], b: list[str], alike: Callable[[str, str], bool]) -> np.ndarray:
     """Which words of `a` (rows) are similar to which of `b`; each two different words are looked at once."""
     rows, row_of = np.unique(np.array(a, object).astype(str), return_inverse=True)
     columns, column_of = np.unique(np.array(b, object).astype(str), return_inverse=True)
-    table = np.array([[similar_words(str(x), str(y), least) for y in columns] for x in rows], bool).reshape(len(rows), len(columns))
+    table = np.array([[alike(str(x), str(y)) for y in columns] for x in rows], bool).reshape(len(rows), len(columns))
     return table[row_of][:, column_of]
 
 
-def common_subsequence(a: list[str], b: list[str], least: float = 0.7) -> list[tuple[int, int]]:
+def common_subsequence(a: list[str], b: list[str], alike: Callable[[str, str], bool] = similar_words) -> list[tuple[int, int]]:
     """The longest pairing of similar words that runs forward in both lists; of equally long ones, each pair in turn is the earliest possible in `a`, then in `b`.
 
     A similar pair's rank is the length of the longest pairing that begins
@@ -32,7 +33,7 @@ def common_subsequence(a: list[str], b: list[str], least: float = 0.7) -> list[t
     """
     if not a or not b:
         return []
-    like = likeness(a, b, least)
+    like = likeness(a, b, alike)
     begins: list[int] = []
     ranked: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for i in reversed(range(len(a))):
@@ -58,7 +59,7 @@ def _first_best(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, np.maximum.accumulate(np.where(new, np.arange(len(values)), 0))
 
 
-def affine_pairs(a: list[str], b: list[str], gap: float = 2.0, least: float = 0.7) -> list[tuple[int, int]]:
+def affine_pairs(a: list[str], b: list[str], gap: float = 2.0, alike: Callable[[str, str], bool] = similar_words) -> list[tuple[int, int]]:
     """The forward pairing of similar words with the best score: 1 a pair, less `gap` for each run of skipped words of either list, at the ends too.
 
     Row by row of `a`, a pair is reached from the pair right before it, from
@@ -69,7 +70,7 @@ def affine_pairs(a: list[str], b: list[str], gap: float = 2.0, least: float = 0.
     n, m = len(a), len(b)
     if not n or not m:
         return []
-    like = likeness(a, b, least)
+    like = likeness(a, b, alike)
     nowhere = np.full(m, -np.inf)
     score, came = np.full((n, m), -np.inf), np.full((n, m), -1)
     above, above_row = nowhere.copy(), np.zeros(m, int)  # by column, the best of the rows before the last, and its row
@@ -106,7 +107,7 @@ def matching_blocks(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return [(m.a + k, m.b + k) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for k in range(m.size)]
 
 
-METHODS = {"subsequence": common_subsequence, "affine": affine_pairs, "blocks": matching_blocks}
+METHODS = {"subsequence": lambda a, b, alike: common_subsequence(a, b, alike), "affine": lambda a, b, alike: affine_pairs(a, b, alike=alike), "blocks": lambda a, b, alike: matching_blocks(a, b)}
 
 
 def align(left: DataFrame, right: DataFrame, key: str | list[str], order: str, word: str, method: str = "subsequence") -> DataFrame:
@@ -114,7 +115,7 @@ def align(left: DataFrame, right: DataFrame, key: str | list[str], order: str, w
 
     Costs words times words of one key, so keys must be songs or takes, not libraries.
     """
-    pair = METHODS[method]
+    pair, alike = METHODS[method], Alike()
     keys = [key] if isinstance(key, str) else key
     kinds = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -122,7 +123,7 @@ def align(left: DataFrame, right: DataFrame, key: str | list[str], order: str, w
         a, b = (x[x[word].notna()].sort_values([order, word]) for x in (a, b))
         if not len(a) or not len(b):
             return pd.DataFrame({**{k: [] for k in keys}, "left_no": [], "right_no": []})
-        pairs = pair(list(a[word]), list(b[word]))
+        pairs = pair(list(a[word]), list(b[word]), alike)
         return pd.DataFrame({**{k: a[k].iloc[0] for k in keys}, "left_no": [int(a[order].iloc[i]) for i, _ in pairs], "right_no": [int(b[order].iloc[j]) for _, j in pairs]})
 
     # New columns on both sides: those of one table could not be told apart.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.similarity import fold_word, similar_words
+from cadenza.functions.similarity import Alike, fold_word, similar_words
 from cadenza.kernels.align import affine_pairs, common_subsequence
 
 
@@ -22,7 +24,7 @@ def looping(words: list[str], least: int = 6) -> set[int]:
     return {i for at, n in zip(change.tolist(), sizes.tolist(), strict=True) if n >= least and words[at] for i in range(at, at + n)}
 
 
-def copies_in(run: list[str], lines: list[list[str]], *, share: float = 0.6, different: int = 3) -> list[tuple[int | None, int, int]]:
+def copies_in(run: list[str], lines: list[list[str]], alike: Callable[[str, str], bool] = similar_words, *, share: float = 0.6, different: int = 3) -> list[tuple[int | None, int, int]]:
     """A run of heard words covered from the left by copies of lyric lines: (line or None for words of no line, from, to).
 
     A copy begins like one of the line's first two words, holds at least
@@ -36,10 +38,10 @@ def copies_in(run: list[str], lines: list[list[str]], *, share: float = 0.6, dif
     while at < len(run):
         opening, best = _folded(run[at : at + 2]), (0, None, 0)
         for k, line in enumerate(folded_lines):
-            if not line or not any(similar_words(x, y) for x in opening for y in line[:2]):
+            if not line or not any(alike(x, y) for x in opening for y in line[:2]):
                 continue
             heard = [(i, f) for i, w in enumerate(run[at : at + len(line) + 2]) if (f := fold_word(w))]
-            pairs = common_subsequence(line, [f for _, f in heard])
+            pairs = common_subsequence(line, [f for _, f in heard], alike)
             if len(pairs) >= share * len(line) and len({line[i] for i, _ in pairs}) >= min(different, len(set(line))) and len(pairs) > best[0]:
                 best = len(pairs), k, heard[pairs[-1][1]][0] + 1
         if best[1] is not None:
@@ -52,7 +54,7 @@ def copies_in(run: list[str], lines: list[list[str]], *, share: float = 0.6, dif
     return out
 
 
-def missing_lines(lines: list[list[str]], heard: list[str], *, least: int = 3, most_copies: int = 2) -> list[tuple[int, str, int | None, int, int]]:
+def missing_lines(lines: list[list[str]], heard: list[str], alike: Callable[[str, str], bool] = similar_words, *, least: int = 3, most_copies: int = 2) -> list[tuple[int, str, int | None, int, int]]:
     """Lines that are heard but not in the lyrics: (line before which they belong, kind, line repeated, first and last heard word).
 
     Heard words that match no lyric word, `least` or more together between
@@ -64,7 +66,7 @@ def missing_lines(lines: list[list[str]], heard: list[str], *, least: int = 3, m
     words = [(f, k) for k, line in enumerate(lines) for w in line if (f := fold_word(w))]
     loops = looping([fold_word(w) or "" for w in heard])
     kept = [(f, i) for i, w in enumerate(heard) if i not in loops and (f := fold_word(w))]
-    line_at = {j: words[i][1] for i, j in affine_pairs([f for f, _ in words], [f for f, _ in kept])}
+    line_at = {j: words[i][1] for i, j in affine_pairs([f for f, _ in words], [f for f, _ in kept], alike=alike)}
     out: list[tuple[int, str, int | None, int, int]] = []
     marks = [-1, *sorted(line_at), len(kept)]
     for a, b in zip(marks, marks[1:], strict=False):
@@ -74,7 +76,7 @@ def missing_lines(lines: list[list[str]], heard: list[str], *, least: int = 3, m
             continue
         place = len(lines) if after is None else after
         found, copies = [], {}
-        for line, start, end in copies_in([heard[i] for i in run], lines):
+        for line, start, end in copies_in([heard[i] for i in run], lines, alike):
             if line is not None:
                 copies[line] = copies.get(line, 0) + 1
                 if copies[line] <= most_copies:
@@ -88,7 +90,7 @@ def missing_lines(lines: list[list[str]], heard: list[str], *, least: int = 3, m
 def propose_lines(lyrics: DataFrame, heard: DataFrame, keys: list[str], line: str, order: str, word: str) -> DataFrame:
     """(keys, before_line, kind, repeats, first, last) of missing_lines for each song: lyrics (keys, line, order, word), heard (keys, order, word)."""
     kinds = ", ".join(f"`{k}` {lyrics.schema[k].dataType.simpleString()}" for k in keys)
-    names = [*keys, "before_line", "kind", "repeats", "first", "last"]
+    names, alike = [*keys, "before_line", "kind", "repeats", "first", "last"], Alike()
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -96,7 +98,7 @@ def propose_lines(lyrics: DataFrame, heard: DataFrame, keys: list[str], line: st
         b = b.sort_values([order, word])
         of = [list(g.sort_values([order, word])[word]) for _, g in a.sort_values(line).groupby(line)]
         places = b[order].tolist()
-        rows = [([*(a[k].iloc[0] for k in keys), at, kind, k, places[x], places[y]]) for at, kind, k, x, y in missing_lines(of, list(b[word]))]
+        rows = [([*(a[k].iloc[0] for k in keys), at, kind, k, places[x], places[y]]) for at, kind, k, x, y in missing_lines(of, list(b[word]), alike)]
         return pd.DataFrame(rows, columns=names).astype({"repeats": "Int64"})
 
     sides = [df.select(*[F.col(c).alias(c) for c in columns]).groupBy(*keys) for df, columns in ((lyrics, [*keys, line, order, word]), (heard, [*keys, order, word]))]

@@ -11,40 +11,22 @@ from pyspark.sql import functions as F
 def best_segments(values: np.ndarray, penalty: float, least: int, most: int) -> list[int]:
     """Where the best piecewise constant fit begins new parts: squares plus `penalty` a part, parts of `least` values at least, `most` parts at most."""
     n = len(values)
-    s, q = np.concatenate([[0.0], np.cumsum(values)]), np.concatenate([[0.0], np.cumsum(values**2)])
-    cost = lambda i, j: q[j] - q[i] - (s[j] - s[i]) ** 2 / (j - i)
-    best = np.full((most + 1, n + 1), np.inf)
-    came = np.zeros((most + 1, n + 1), int)
-    best[0, 0] = 0.0
-    for k in range(1, most + 1):
-        for j in range(least, n + 1):
-            i = np.arange(0, j - least + 1)
-            total = best[k - 1, i] + np.array([cost(a, j) for a in i]) + penalty
-            at = int(total.argmin())
-            best[k, j], came[k, j] = total[at], i[at]
-    k = int(best[:, n].argmin())
+    sums, squares = (np.concatenate([[0.0], np.cumsum(x)]) for x in (values, values**2))
+    size = np.arange(n + 1)[None, :] - np.arange(n + 1)[:, None]
+    fit = np.where(size >= least, squares[None, :] - squares[:, None] - (sums[None, :] - sums[:, None]) ** 2 / np.maximum(size, 1), np.inf)  # of values i to j as one part
+    best, came = [np.where(np.arange(n + 1) == 0, 0.0, np.inf)], []
+    for _ in range(min(most, n // max(1, least))):
+        total = best[-1][:, None] + fit + penalty
+        came.append(total.argmin(0))
+        best.append(total.min(0))
+    k = int(np.argmin([b[n] for b in best]))
     cuts, j = [], n
-    while k > 0:
-        j = int(came[k, j])
+    for of in reversed(came[:k]):
+        j = int(of[j])
         cuts.append(j)
-        k -= 1
     return cuts[::-1]
 
 
-def held_notes(df: DataFrame, keys: list[str], order: str, value: str, *, penalty: float = 40.0, least: int = 8, most: int = 6) -> DataFrame:
-    """(keys, part, first, last, level): each key's values in parts of about one level."""
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group[group[value].notna()].sort_values([order, value])
-        x = group[value].to_numpy(float)
-        cuts = best_segments(x, penalty, least, most) if len(x) >= least else ([0] if len(x) else [])
-        ends = [*cuts[1:], len(x)]
-        return pd.DataFrame([[*(group[k].iloc[0] for k in keys), p, int(group[order].iloc[a]), int(group[order].iloc[b - 1]), float(np.median(x[a:b]))] for p, (a, b) in enumerate(zip(cuts, ends, strict=False))], columns=[*keys, "part", "first", "last", "level"])
-
-    return df.select(*keys, order, value).groupBy(*keys).applyInPandas(one, f"{kinds}, part int, first long, last long, level double")
-
-
 def held_pitches(df: DataFrame, keys: list[str], at: str, hz: str, confidence: str, *, sure: float = 0.2, penalty: float = 40.0, part_s: float = 0.12, hop_s: float = 0.016, most: int = 6) -> DataFrame:
     """(keys, part, first_s, last_s, level): a pitch track in parts of about one level, in semitones.
 

@@ -104,7 +104,7 @@ def test_fuzzy_best(spark):
 def test_alignment_is_monotone():
     a, b = "the river runs to the quiet sea".split(), "river ran to a the quiett sea again".split()
     for method in align.METHODS.values():
-        pairs = method(a, b)
+        pairs = method(a, b, similar_words)
         assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len(pairs) == len({j for _, j in pairs})
     assert len(align.common_subsequence(a, b)) == 5
     assert align.affine_pairs([], b) == [] and align.matching_blocks(a, a) == [(i, i) for i in range(7)]
@@ -123,8 +123,8 @@ def test_segments_lag_clusters_and_paths():
     logp = np.full((8, 3), -5.0)
     logp[:, 0] = -1.0
     logp[2, 1] = logp[3, 1] = logp[6, 2] = 0.0
-    assert signal.forced_alignment(logp, [1, 2]) == [(2, 3), (6, 6)]
-    assert signal.forced_alignment(logp[:1], [1, 2, 1]) is None and signal.forced_alignment(logp, []) == []
+    assert [x[:2] for x in signal.align_sung(logp, [[[1], [2]]])[0]] == [(2, 3), (6, 6)]
+    assert signal.align_sung(logp[:1], [[[1, 2, 1]]]) is None and signal.align_sung(logp, []) == ([], [])
 
 
 def test_song_files(spark, tmp_path):
