@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,6 +36,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Shared:
+    """A value sent to every task once. It may hold objects of this package: unlike a plain broadcast it travels by value, so executors need no copy of the package."""
+
+    def __init__(self, broadcast: Broadcast):
+        self.broadcast = broadcast
+        self.loaded: list = []
+
+    def __reduce__(self) -> tuple:
+        return Shared, (self.broadcast,)
+
+    @property
+    def value(self) -> Any:
+        if not self.loaded:
+            self.loaded.append(cloudpickle.loads(self.broadcast.value))
+        return self.loaded[0]
+
+    def destroy(self) -> None:
+        self.broadcast.destroy()
+
+
+def share(spark: SparkSession, value: Any) -> Shared:
+    """Sends a value of proven size to the executors, for functions that use its `value`."""
+    return Shared(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; for files, their size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
