@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.spelling import deletes, osa, plain, squeezed, weighted
+from cadenza.session import share
 
 #: What people put around a value without changing its meaning. Fixed patterns.
 DECORATIONS = [r"^(?:mostly|mainly)\s+", r"^~\s*", r"^(?:genre|style)\s*:\s*", r"\s*\((?:style|genre)\)$", r"[\s]*[!.?]+$", r"[\s-]+(?:music|songs?|style)$"]
@@ -118,7 +119,7 @@ def map_to_reference(values: DataFrame, value: str, reference: DataFrame, ref_id
     spellings = values.select(F.col(value).alias("typed")).where(F.col(value).rlike(r"[^\s\p{Z}]")).groupBy("typed").agg(F.count(F.lit(1)).alias("n"))
     plainly = F.broadcast(named.select(F.col(ref_id).alias("ref_id"), F.lower(ref_name).alias("__name")))  # not more than the keys checked above
     frequency = {r.ref_id: r.n for r in spellings.join(plainly, F.lower("typed") == F.col("__name")).groupBy("ref_id").agg(F.sum("n").alias("n")).collect()}
-    shared = spark.sparkContext.broadcast(Dictionary([(r[0], r[1], frequency.get(r[0], 0)) for r in entries], aliases))
+    shared = share(spark, Dictionary([(r[0], r[1], frequency.get(r[0], 0)) for r in entries], aliases))
 
     @F.pandas_udf("ref_id int, distance double")
     def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

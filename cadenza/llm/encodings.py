@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.session import checkpoint
+from cadenza.session import checkpoint, share
 
 #: (what the text was, what it was read as, how often in a row). Fixed values.
 PAIRS = [
@@ -359,7 +359,7 @@ def clean_bigrams(values: DataFrame, column: str) -> Statistics:
 
     rows = tokens.mapInPandas(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
     seen = Statistics({(r.a, r.b): r.n for r in rows})
-    shared = spark.sparkContext.broadcast(seen)
+    shared = share(spark, seen)
 
     def explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, by = Model(shared.value), Counter()
@@ -384,7 +384,7 @@ def restore(values: DataFrame, column: str, statistics: Statistics) -> DataFrame
     left alone. Whole values are read. Columns named restored or garbled are
     replaced. ASCII values never leave the JVM.
     """
-    shared = values.sparkSession.sparkContext.broadcast(statistics)
+    shared = share(values.sparkSession, statistics)
 
     @F.pandas_udf("restored string, garbled boolean")
     def fix(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

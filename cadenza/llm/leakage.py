@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.readability import sung_text
 from cadenza.llm.sums import STRIPE, matrix_sum, striped
-from cadenza.session import checkpoint
+from cadenza.session import checkpoint, share
 
 #: Word pairs share this many columns of the TF-IDF matrix, which bounds the model.
 COLUMNS = 1 << 14
@@ -156,7 +156,7 @@ def latent_space(numbered: DataFrame, idf: np.ndarray) -> np.ndarray:
     width = RANK + OVERSAMPLE
     random = np.random.RandomState(SEED).standard_normal((COLUMNS, width)).astype(np.float32)
     spark = numbered.sparkSession
-    shared = spark.sparkContext.broadcast(_with_zero(random * idf[:, None]))
+    shared = share(spark, _with_zero(random * idf[:, None]))
 
     def sketch(batches: Iterator[list[np.ndarray]]) -> np.ndarray:
         total = np.zeros((width, COLUMNS + 1))
@@ -352,7 +352,7 @@ def leaked(
                 vectors.append(space[part].sum(0))
                 owners.append(k)
     probes = Probes(_unit(np.array(vectors, np.float32).reshape(-1, space.shape[1])), np.array(owners, int), least_cosine, target_recall)
-    shared = spark.sparkContext.broadcast((_with_zero(space), probes, [Item(w, min(len(b), len(w))) for w, b in zip(words, before, strict=True)], ids))
+    shared = share(spark, (_with_zero(space), probes, [Item(w, min(len(b), len(w))) for w, b in zip(words, before, strict=True)], ids))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space, probes, known, ids = shared.value

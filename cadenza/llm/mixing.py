@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.session import checkpoint
+from cadenza.session import checkpoint, share
 
 SEPARATOR = "\x1f"
 MOST_PATTERNS = 5_000
@@ -43,7 +43,7 @@ def token_counts(documents: DataFrame, keep: list[str], text: str, tokenizer: st
 
         pattern = public_tokenizers.PATTERN
     with open(tokenizer or default_tokenizer(), "rb") as f:
-        shared = documents.sparkSession.sparkContext.broadcast((pattern, {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}))
+        shared = share(documents.sparkSession, (pattern, {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}))
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.session import share
+
 LEVELS = 3
 #: Words share this many counters in the corpus table, which bounds the model's size.
 BUCKETS = 1 << 18
@@ -239,7 +241,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, doc_id: str = "do
     if not len(sample):
         raise ValueError("no graded document to fit to")
     grader = fit(list(sample[text]), list(sample["grade"]), corpus_counts(documents, text))
-    shared = documents.sparkSession.sparkContext.broadcast(grader)
+    shared = share(documents.sparkSession, grader)
     id_type = documents.schema[doc_id].dataType.simpleString()
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
