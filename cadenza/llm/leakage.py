@@ -32,15 +32,15 @@ COLUMNS = 1 << 14
 #: Passages are two neighbouring blocks of so many words; items' passages begin every ITEM_STEP words.
 BLOCK, ITEM_STEP = 16, 8
 RANK, OVERSAMPLE = 128, 16
-#: Blocks worked on at a time, which bounds memory.
-SLICE = 1 << 12
+#: Blocks worked on at a time, which bounds memory; so few where their rows are gathered that these stay in the cache.
+SLICE, GATHER = 1 << 12, 1 << 8
 SEED = 7
 #: Cyrillic letters that look like Latin ones. Fixed values.
 LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝ", "aeopcyxijshdqw")
 #: Characters that don't show: combining marks, soft hyphens, joiners and spaces without width, byte order marks.
 HIDDEN = "\u0300-\u036f\u00ad\u200b-\u200f\u2060\ufeff"
 INVISIBLE = re.compile(f"[{HIDDEN}]+")
-BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n\s*(?=[^\W\d_])")
+BROKEN = re.compile(r"-(?<=[^\W\d_]-)[ \t]*\r?\n\s*(?=[^\W\d_])")
 TOKEN = re.compile(f"[\\w{HIDDEN}]+|\x1e")
 
 
@@ -86,9 +86,9 @@ class Blocks:
     def sums(self, matrix: np.ndarray) -> np.ndarray:
         """By block, the sum of its pairs' rows of the matrix, whose last row is zero."""
         out = np.zeros((len(self.doc), matrix.shape[1]), np.float32)
-        for at in range(0, len(self.doc), SLICE):
-            rows = matrix[self.column[at * BLOCK : (at + SLICE) * BLOCK]]
-            out[at : at + SLICE] = np.einsum("bkd->bd", rows.reshape(-1, BLOCK, matrix.shape[1]))
+        for at in range(0, len(self.doc), GATHER):
+            rows = matrix[self.column[at * BLOCK : (at + GATHER) * BLOCK]]
+            out[at : at + GATHER] = np.einsum("bkd->bd", rows.reshape(-1, BLOCK, matrix.shape[1]))
         return out
 
     def passages(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
