@@ -5,7 +5,7 @@ import pytest
 
 from cadenza.llm.canonical import GENRE_ALIASES, Dictionary, map_to_reference
 from cadenza.llm.encodings import Statistics
-from cadenza.llm.names import act_of_spellings, alignment, alignment_cost, name_bigrams, same_act_pairs
+from cadenza.llm.names import abbreviation_cost, act_of_spellings, alignment, alignment_cost, name_bigrams, same_act_pairs, stands_for
 from cadenza.llm.spelling import assignment, deletes, met_under, osa, weighted
 
 ACTS = [
@@ -115,3 +115,20 @@ def test_assignment_is_optimal():
         assert assignment(cost) == pytest.approx(best)
     many = tuple(f"token{i}" for i in range(30))
     assert alignment(many, (*many[:-1], "t")) == 0.5 and alignment_cost(many, ("tokne0", *many[1:])) == pytest.approx(0.2)
+
+
+def test_abbreviated_names_all_meet(spark):
+    """Names with short surnames, of abbreviations only, and whatever else the alignment permits: as brute force finds them."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.choice([1, 1, 2, 3, 5, 6, 8, 10])))
+    named = {"bush k": "bush katherine", "ann li": "annabel li", "kath zapam": "katharina zapamadason", "b mijebri": "bjorn mijebri", "bregla m": "bregla malgorzata"}
+    forms = sorted({*named, *named.values(), *(" ".join(sorted(word() for _ in range(rng.randint(1, 3)))) for _ in range(120))})
+    letters = {f: len(f.replace(" ", "")) for f in forms}
+    costs = {(a, b): abbreviation_cost(tuple(a.split(" ")), tuple(b.split(" "))) for a in forms for b in forms if (letters[b], a) > (letters[a], b)}
+    settled: dict[str, str] = {}
+    for a in sorted(forms, key=lambda f: (-letters[f], f)):
+        fit = sorted((round(c, 3), b) for (x, b), c in costs.items() if x == a and c is not None and settled[b] == b)
+        settled[a] = fit[0][1] if fit and [c for c, _ in fit].count(fit[0][0]) == 1 else a
+    got = {r.form: r.entity for r in stands_for(spark.createDataFrame([(f,) for f in forms], "form string")).collect()}
+    assert got == {a: b for a, b in settled.items() if a != b}
+    assert named.items() <= got.items()
