@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from cadenza.llm import names
 from cadenza.llm.canonical import GENRE_ALIASES, Dictionary, map_to_reference
 from cadenza.llm.encodings import Statistics
 from cadenza.llm.names import abbreviation_cost, act_of_spellings, alignment, alignment_cost, name_bigrams, same_act_pairs, stands_for
@@ -132,3 +133,16 @@ def test_abbreviated_names_all_meet(spark):
     got = {r.form: r.entity for r in stands_for(spark.createDataFrame([(f,) for f in forms], "form string")).collect()}
     assert got == {a: b for a, b in settled.items() if a != b}
     assert named.items() <= got.items()
+
+
+def test_what_deletions_leave_is_not_broadcast(spark, monkeypatch):
+    """The keys are many times their tokens, which the size estimate doesn't know; broadcast, they fill the driver."""
+    plans = []
+    kept = names.checkpoint
+    monkeypatch.setattr(names, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or kept(df))
+    rows = [(n, "song") for n in ("Penelope Zimabas", "Penelope Zimabsa", "PenelopeZ imabas", "P. Zimabas")]
+    df = spark.createDataFrame(rows, "name string, title string")
+    acts = {r.spelling: r.entity for r in act_of_spellings(df, "name", Statistics({})).collect()}
+    assert len(set(acts.values())) == 1 and set(acts) == {n for n, _ in rows}
+    joined = [line for p in plans for line in p.split("\n") if "Join [key#" in line or "Join [initials#" in line]
+    assert len(joined) >= 3 and not any("BroadcastHashJoin" in line for line in joined)
