@@ -135,13 +135,14 @@ def test_abbreviated_names_all_meet(spark):
     assert named.items() <= got.items()
 
 
-def test_what_deletions_leave_is_not_broadcast(spark, monkeypatch):
+def test_what_deletions_leave_is_not_broadcast(spark, monkeypatch, tmp_path):
     """The keys are many times their tokens, which the size estimate doesn't know; broadcast, they fill the driver."""
     plans = []
     kept = names.checkpoint
     monkeypatch.setattr(names, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or kept(df))
     rows = [(n, "song") for n in ("Penelope Zimabas", "Penelope Zimabsa", "PenelopeZ imabas", "P. Zimabas")]
-    df = spark.createDataFrame(rows, "name string, title string")
+    spark.createDataFrame(rows, "name string, title string").write.parquet(f"{tmp_path}/names")  # files have a size, local rows none
+    df = spark.read.parquet(f"{tmp_path}/names")
     acts = {r.spelling: r.entity for r in act_of_spellings(df, "name", Statistics({})).collect()}
     assert len(set(acts.values())) == 1 and set(acts) == {n for n, _ in rows}
     joined = [line for p in plans for line in p.split("\n") if "Join [key#" in line or "Join [initials#" in line]
