@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.session import checkpoint
+from cadenza.session import checkpoint, unsent
 
 
 def fold_word(text: str | None) -> str | None:
@@ -114,65 +114,131 @@ def _at_least(least: float, a: Column, b: Column) -> Column:
     return _each(ratio, T.DoubleType())(a, b)
 
 
-def _name_keys(name: str, least: float, common: dict[str, int], one: bool) -> list[str]:
-    """Keys of which two names with a ratio of `least` share one.
-
-    Such names of lengths S in all have (1.5 least - 1) S - 1 pairs of letters
-    in common, for M matching letters leave at most S - 2 M breaks between
-    them; so their rarest pairs meet (a prefix filter). Names too short for
-    that meet by their lengths: `one` gives its own, the others all that fit.
+#: Names of a block on either side, and of the parts of it that are compared at once.
+LEFT_BLOCK, RIGHT_BLOCK, PART = 2048, 8192, 1024
+#: Letters are told apart in so many classes, and counted up to so many of each; longer names aren't compared letter by letter before their ratio.
+CLASSES, COUNTED, BITS = 32, 4, 64
+
+
+class Letters:
+    """Names as numbers, shortest first: their letters' classes in order (filled up with -1), and a 1 for each of the first, second, ... letter of a class."""
+
+    def __init__(self, names: list[str]):
+        self.names = sorted(names, key=len)
+        self.size = np.array([len(n) for n in self.names], np.int64)
+        codes = np.frombuffer("".join(self.names).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        kinds = np.where((codes >= 97) & (codes <= 122), codes - 97, np.where(codes == 32, 26, np.where((codes >= 48) & (codes <= 57), 27, 28 + codes % 4)))
+        row = np.repeat(np.arange(len(names)), self.size)
+        at = np.arange(len(codes)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        short = at < BITS
+        self.kinds = np.full((len(names), BITS), -1, np.int8)
+        self.kinds[row[short], at[short]] = kinds[short]
+        self.places = np.zeros((len(names), CLASSES), np.uint64)  # of each class, as bits
+        np.bitwise_or.at(self.places, (row[short], kinds[short]), np.uint64(1) << at[short].astype(np.uint64))
+        counts = np.bincount(row * CLASSES + kinds, minlength=len(names) * CLASSES).reshape(len(names), CLASSES)
+        self.ones = (counts[:, :, None] > np.arange(COUNTED)).astype(np.float32).reshape(len(names), -1)
+        self.more = np.maximum(counts - COUNTED, 0).sum(1)
+
+
+def _common(a: Letters, b: Letters, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The longest common subsequences' lengths, of letters' classes, for pairs of names of at most BITS letters: a bit for each place of b, all pairs at once."""
+    places, left = b.places[j], np.full(len(i), ~np.uint64(0))
+    kinds, row = a.kinds[i], np.arange(len(i))
+    for at in range(int(a.size[i].max(initial=0))):
+        kind = kinds[:, at]
+        match = left & np.where(kind >= 0, places[row, kind], np.uint64(0))
+        left = (left + match) | (left - match)
+    inside = np.where(b.size[j] >= BITS, ~np.uint64(0), (np.uint64(1) << np.minimum(b.size[j], BITS - 1).astype(np.uint64)) - np.uint64(1))
+    return np.bitwise_count(~left & inside).astype(np.int64)
+
+
+def may_be_alike(a: Letters, b: Letters, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs whose ratio of matching blocks may be `least`, for blocks match no more than the letters in common, nor than a common subsequence."""
+    for x in range(0, len(a.names), PART):
+        for y in range(0, len(b.names), PART):
+            of, to = slice(x, x + PART), slice(y, y + PART)
+            if 2 * min(a.size[of][-1], b.size[to][-1]) < (least - 1e-9) * (a.size[of][0] + b.size[to][0]):
+                continue
+            need = (least / 2 - 1e-9) * (a.size[of][:, None] + b.size[to]).astype(np.float32)
+            i, j = np.nonzero(a.ones[of] @ b.ones[to].T + a.more[of][:, None].astype(np.float32) >= need - 1e-3)
+            i, j = i + x, j + y
+            for at in range(0, len(i), 1 << 18):
+                m, n = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+                keep = (a.size[m] > BITS) | (b.size[n] > BITS)
+                rest = np.flatnonzero(~keep)
+                keep[rest] = 2 * _common(a, b, m[rest], n[rest]) >= (least - 1e-9) * (a.size[m[rest]] + b.size[n[rest]])
+                yield m[keep], n[keep]
+
+
+def similar_names(left: DataFrame, right: DataFrame, least: float, *, exact: bool = True) -> DataFrame:
+    """(l_name, r_name, ratio): all pairs of different values of two columns `name` with a ratio of matching blocks of at least `least`.
+
+    All blocks of both sides meet, each two in a task of its own, where bounds
+    that cost little decide nearly all pairs. The work is the product of both
+    numbers of names. Not `exact`: (l_name, r_name) of what the bounds leave.
     """
-    size, wide, slack = len(name), (2 - least) / least if least > 0 else math.inf, 1e-9
-    share = (1.5 * least - 1) * 2 / (2 - least)
-    short = (1 + slack) / share if share > 0 else math.inf
-    keys = []
-    if size <= short * wide + slack:
-        keys = [f"#{size}"] if one else [f"#{n}" for n in range(math.ceil(size / wide - slack), (math.floor(size * wide + slack) if wide < math.inf else 1000) + 1)]
-    if size > short:
-        seen: Counter = Counter()
-        pairs = []
-        for i in range(size - 1):
-            seen[name[i : i + 2]] += 1
-            pairs.append((common.get(name[i : i + 2], 0), name[i : i + 2], seen[name[i : i + 2]]))
-        least_shared = max(1, math.ceil(share * size - 1 - slack))
-        keys += [f"{gram}{n}" for _, gram, n in sorted(pairs)[: size - least_shared]]
-    return keys
-
-
-def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(l_name, r_name, ratio): all pairs of different values of two columns `name` with a ratio of matching blocks of at least `least`."""
-    left, right = (df.where("name is not null").select("name").distinct() for df in (left, right))
-    grams = left.union(right).select(F.explode(F.expr("transform(sequence(1, greatest(1, char_length(name) - 1)), i -> substring(name, i, 2))")).alias("gram"))
-    common = {r.gram: r.n for r in grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(100_000).collect()}
-    keys = lambda one: F.pandas_udf(lambda s: s.map(lambda x: _name_keys(x, least, common, one)), T.ArrayType(T.StringType()), functionType=F.PandasUDFType.SCALAR)
-    a = left.select(F.col("name").alias("l_name"), F.explode(keys(True)("name")).alias("key"))
-    b = right.select(F.col("name").alias("r_name"), F.explode(keys(False)("name")).alias("key"))
-    size = lambda c: F.char_length(c)
-    fit = F.least(size("l_name"), size("r_name")) * 2 >= (size("l_name") + size("r_name")) * F.lit(least - 1e-9)
-    pairs = a.join(b, "key").where(fit).select("l_name", "r_name").distinct()
-    return pairs.withColumn("ratio", _at_least(least, F.col("l_name"), F.col("r_name"))).where(F.col("ratio") >= least)
+
+    def blocks(df: DataFrame, most: int) -> tuple[DataFrame, int]:
+        df = checkpoint(df.where("name is not null").select("name").distinct())
+        return df, max(1, math.ceil(df.count() / most))
+
+    (left, ls), (right, rs) = blocks(left, LEFT_BLOCK), blocks(right, RIGHT_BLOCK)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("name"), F.lit(n)).cast("int")
+    a, b = left.select("name", own(ls).alias("l"), all_of(rs).alias("r")), right.select("name", all_of(ls).alias("l"), own(rs).alias("r"))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found: tuple[list, list, list] = ([], [], [])
+        if len(x) and len(y):
+            p, q = Letters(list(x["name"])), Letters(list(y["name"]))
+            for i, j in may_be_alike(p, q, least):
+                matcher, at = SequenceMatcher(), -1
+                order = np.argsort(j, kind="stable")
+                for m, n in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                    if exact:
+                        if n != at:  # what it knows of the second name is kept
+                            matcher.set_seq2(q.names[n])
+                            at = n
+                        matcher.set_seq1(p.names[m])
+                    if not exact or matcher.quick_ratio() >= least and matcher.ratio() >= least:
+                        for of, v in zip(found, (p.names[m], q.names[n], matcher.ratio() if exact else None), strict=True):
+                            of.append(v)
+        return pd.DataFrame(dict(zip(("l_name", "r_name", "ratio"), found, strict=True)))
+
+    parts = min(ls * rs, 4096)
+    met = [df.repartition(parts, "l", "r").groupBy("l", "r") for df in (a, b)]
+    pairs = met[0].cogroup(met[1]).applyInPandas(compare, "l_name string, r_name string, ratio double")
+    return pairs if exact else pairs.drop("ratio")
 
 
 def fuzzy_best(left: DataFrame, right: DataFrame, row: str, candidate: str, names: list[str], *, least: float = 0.9, k: int = 3) -> DataFrame:
     """For each left row the k right rows whose worst name ratio is at least `least`: row, candidate, score, place.
 
-    A missing name doesn't count. Different values of the first name meet by
-    keys that such a ratio guarantees, so no pair is lost; rows without it
-    meet by the next name.
+    A missing name doesn't count. Rows meet by the first name that both have
+    and by the next one, as far as both have it, so a band of many songs
+    isn't compared with itself whole; no pair is lost.
     """
     normal = F.pandas_udf(lambda s: s.map(normal_name, na_action="ignore"), T.StringType(), functionType=F.PandasUDFType.SCALAR)
     prepared = lambda df, key, p: checkpoint(df.select(F.col(key).alias(p + "id"), *[normal(F.col(n)).alias(p + n) for n in names]))
     a, b = prepared(left, row, "l_"), prepared(right, candidate, "r_")
     pairs = None
+    near = [checkpoint(similar_names(a.select(F.col("l_" + n).alias("name")), b.select(F.col("r_" + n).alias("name")), least, exact=not i)) for i, n in enumerate(names)]
     for i, n in enumerate(names):
-        alike = similar_names(a.select(F.col("l_" + n).alias("name")), b.select(F.col("r_" + n).alias("name")), least).select(F.col("l_name").alias("l_" + n), F.col("r_name").alias("r_" + n), F.col("ratio").alias("first"))
-        met = a.join(alike, "l_" + n).join(b, "r_" + n)
-        for x in names[:i]:
-            met = met.where(F.col("l_" + x).isNull() | F.col("r_" + x).isNull())
-        rest = [_at_least(least, F.col("l_" + x), F.col("r_" + x)) for x in names[i + 1 :]]
-        score = F.least("first", *rest) if rest else F.col("first")
-        met = met.select(F.col("l_id").alias(row), F.col("r_id").alias(candidate), score.alias("score"))
-        pairs = met if pairs is None else pairs.union(met)
+        first = near[0] if i == 0 else near[i].withColumn("ratio", _at_least(least, F.col("l_name"), F.col("r_name"))).where(F.col("ratio") >= least)
+        alike = first.select(F.col("l_name").alias("l_" + n), F.col("r_name").alias("r_" + n), F.col("ratio").alias("first"))
+        lefts, rest = a.join(unsent(alike), "l_" + n), names[i + 1 :]
+        ways = []
+        if rest:  # by the next name too; where one row lacks it, by this one alone
+            l_next, r_next = "l_" + rest[0], "r_" + rest[0]
+            rights = b.join(unsent(near[i + 1].select(F.col("l_name").alias(l_next), F.col("r_name").alias(r_next))), r_next)
+            ways = [lefts.join(unsent(rights), ["r_" + n, l_next]), lefts.where(F.col(l_next).isNull()).join(unsent(b), "r_" + n), lefts.where(F.col(l_next).isNotNull()).join(unsent(b.where(F.col(r_next).isNull())), "r_" + n)]
+        for met in ways or [lefts.join(unsent(b), "r_" + n)]:
+            for x in names[:i]:
+                met = met.where(F.col("l_" + x).isNull() | F.col("r_" + x).isNull())
+            ratios = [_at_least(least, F.col("l_" + x), F.col("r_" + x)) for x in rest]
+            score = F.least("first", *ratios) if ratios else F.col("first")
+            met = met.select(F.col("l_id").alias(row), F.col("r_id").alias(candidate), score.alias("score"))
+            pairs = met if pairs is None else pairs.union(met)
     from cadenza.operators.joins import top_of
 
     return top_of(pairs.where(F.col("score") >= least), [row], [F.desc("score"), F.col(candidate)], k)

@@ -57,3 +57,18 @@ def test_union_takes_all_fixes(spark, tmp_path):
     d = write(spark, tmp_path, genre_song_fixes=(fixes, "fix_id long, band string, title string"), song_info=(info, "artist string, title string"))
     got = sorted(tuple(r) for r in relations.QUERIES["x2_union_distinct"](spark, d).select("band", "title").collect())
     assert got == [("Even", "two"), ("NEW", "three"), ("Odd", "one"), ("odd", "one")]
+
+
+def test_bounds_keep_all_alike_names_and_few_others():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuéжす01 ") for _ in range(rng.choice([1, 2, 5, 12, 20, 30, 63, 64, 65, 90])))
+    slip = lambda t: "".join(c for c in t if rng.random() > 0.1) + rng.choice(["", "x", "aa"])
+    left = sorted({"", "aaaaaaaaaaaaa", *(word() for _ in range(400))})
+    right = sorted({"", "a", "aaaaaaaaaaaaaa", *map(slip, left), *(word() for _ in range(100))})
+    a, b = similarity.Letters(left), similarity.Letters(right)
+    for least in (0.0, 0.5, 0.8, 1.0):
+        got = [(a.names[m], b.names[n]) for i, j in similarity.may_be_alike(a, b, least) for m, n in zip(i, j, strict=True)]
+        few = left if least == 0.8 else left[::7]
+        want = {(x, y) for x in few for y in right if (r := similarity.SequenceMatcher(None, x, y)).quick_ratio() >= least and r.ratio() >= least}
+        assert len(set(got)) == len(got) and want <= set(got)
+        assert least < 0.8 or len(want) > 10 and len(got) < 0.1 * len(left) * len(right)
