@@ -72,3 +72,18 @@ def test_bounds_keep_all_alike_names_and_few_others():
         want = {(x, y) for x in few for y in right if (r := similarity.SequenceMatcher(None, x, y)).quick_ratio() >= least and r.ratio() >= least}
         assert len(set(got)) == len(got) and want <= set(got)
         assert least < 0.8 or len(want) > 10 and len(got) < 0.1 * len(left) * len(right)
+
+
+def test_songs_of_a_hot_band_meet_by_title(spark, monkeypatch):
+    """The pairs that are scored are those alike in both names, not all of a band's; a missing name doesn't count."""
+    rng = random.Random(9)
+    title = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12))
+    titles = [title() for _ in range(200)]
+    seen = spark.sparkContext.accumulator(0)
+    ratio = similarity._at_least
+    monkeypatch.setattr(similarity, "_at_least", lambda least, x, y: ratio(least, x, y) + similarity.F.udf(lambda v: seen.add(1) or 0.0, "double")(y))
+    left = spark.createDataFrame([*((i, "the one band", t) for i, t in enumerate(titles)), (900, None, titles[3]), (901, "the one band", None)], "id int, artist string, title string")
+    right = spark.createDataFrame([*((i, "the one bnad", t + "x") for i, t in enumerate(titles)), (900, "the one band", None)], "other int, artist string, title string")
+    got = {(r.id, r.other) for r in similarity.fuzzy_best(left, right, "id", "other", ["artist", "title"], least=0.8, k=1000).collect()}
+    assert got == {*((i, i) for i in range(200)), *((i, 900) for i in range(200)), (900, 3), *((901, i) for i in range(200)), (901, 900)}
+    assert seen.value < 5000
