@@ -211,16 +211,24 @@ def similar_names(left: DataFrame, right: DataFrame, least: float, *, exact: boo
     return pairs if exact else pairs.drop("ratio")
 
 
-def fuzzy_best(left: DataFrame, right: DataFrame, row: str, candidate: str, names: list[str], *, least: float = 0.9, k: int = 3) -> DataFrame:
-    """For each left row the k right rows whose worst name ratio is at least `least`: row, candidate, score, place.
+def _forms(df: DataFrame, names: list[str], p: str) -> tuple[DataFrame, DataFrame]:
+    """`df` with <p>form, a number, in place of its names; and what it stands for, the different names made normal: (<p>form, <p><name>...)."""
+    normal = F.pandas_udf(lambda s: s.map(normal_name, na_action="ignore"), T.StringType(), functionType=F.PandasUDFType.SCALAR)
+    others = [c for c in df.columns if c not in names]
+    rows = checkpoint(df.select(*others, *[normal(F.col(n)).alias(p + n) for n in names]))
+    forms = checkpoint(rows.select(*[p + n for n in names]).distinct().withColumn(p + "form", F.monotonically_increasing_id()))
+    numbers = forms.select(p + "form", *[F.col(p + n).alias("__" + n) for n in names])
+    met = rows.join(unsent(numbers), [F.col(p + n).eqNullSafe(F.col("__" + n)) for n in names])
+    return checkpoint(met.select(*others, p + "form")), forms
+
 
-    A missing name doesn't count. Rows meet by the first name that both have
+def similar_forms(a: DataFrame, b: DataFrame, names: list[str], least: float) -> DataFrame:
+    """(l_form, r_form, score): all pairs of forms whose worst name ratio is at least `least`, once.
+
+    A missing name doesn't count. Forms meet by the first name that both have
     and by the next one, as far as both have it, so a band of many songs
     isn't compared with itself whole; no pair is lost.
     """
-    normal = F.pandas_udf(lambda s: s.map(normal_name, na_action="ignore"), T.StringType(), functionType=F.PandasUDFType.SCALAR)
-    prepared = lambda df, key, p: checkpoint(df.select(F.col(key).alias(p + "id"), *[normal(F.col(n)).alias(p + n) for n in names]))
-    a, b = prepared(left, row, "l_"), prepared(right, candidate, "r_")
     pairs = None
     near = [checkpoint(similar_names(a.select(F.col("l_" + n).alias("name")), b.select(F.col("r_" + n).alias("name")), least, exact=not i)) for i, n in enumerate(names)]
     for i, n in enumerate(names):
@@ -228,7 +236,7 @@ def fuzzy_best(left: DataFrame, right: DataFrame, row: str, candidate: str, name
         alike = first.select(F.col("l_name").alias("l_" + n), F.col("r_name").alias("r_" + n), F.col("ratio").alias("first"))
         lefts, rest = a.join(unsent(alike), "l_" + n), names[i + 1 :]
         ways = []
-        if rest:  # by the next name too; where one row lacks it, by this one alone
+        if rest:  # by the next name too; where one form lacks it, by this one alone
             l_next, r_next = "l_" + rest[0], "r_" + rest[0]
             rights = b.join(unsent(near[i + 1].select(F.col("l_name").alias(l_next), F.col("r_name").alias(r_next))), r_next)
             ways = [lefts.join(unsent(rights), ["r_" + n, l_next]), lefts.where(F.col(l_next).isNull()).join(unsent(b), "r_" + n), lefts.where(F.col(l_next).isNotNull()).join(unsent(b.where(F.col(r_next).isNull())), "r_" + n)]
@@ -237,8 +245,36 @@ def fuzzy_best(left: DataFrame, right: DataFrame, row: str, candidate: str, name
                 met = met.where(F.col("l_" + x).isNull() | F.col("r_" + x).isNull())
             ratios = [_at_least(least, F.col("l_" + x), F.col("r_" + x)) for x in rest]
             score = F.least("first", *ratios) if ratios else F.col("first")
-            met = met.select(F.col("l_id").alias(row), F.col("r_id").alias(candidate), score.alias("score"))
+            met = met.select("l_form", "r_form", score.alias("score"))
             pairs = met if pairs is None else pairs.union(met)
+    return pairs.where(F.col("score") >= least)
+
+
+def fuzzy_best(left: DataFrame, right: DataFrame, row: str, candidate: str, names: list[str], *, least: float = 0.9, k: int = 3) -> DataFrame:
+    """For each left row the k right rows whose worst name ratio is at least `least`: row, candidate, score, place.
+
+    Different names are compared once, however many rows have them, and of the
+    rows of a right form only the k that can be among the best go on.
+    """
     from cadenza.operators.joins import top_of
 
-    return top_of(pairs.where(F.col("score") >= least), [row], [F.desc("score"), F.col(candidate)], k)
+    rows, a = _forms(left.select(row, *names), names, "l_")
+    offers, b = _forms(right.select(candidate, *names), names, "r_")
+    offers = top_of(offers, ["r_form"], [F.col(candidate)], k).drop("place")
+    order = [F.desc("score"), F.col(candidate)]
+    met = similar_forms(a, b, names, least).join(unsent(offers), "r_form").select("l_form", candidate, "score")
+    best = top_of(met, ["l_form"], order, k).drop("place")
+    return top_of(rows.join(unsent(best), "l_form").select(row, candidate, "score"), [row], order, k)
+
+
+def fuzzy_first(left: DataFrame, right: DataFrame, row: str, names: list[str], rank: list[str], *, least: float) -> DataFrame:
+    """Each left row with the least `rank` (columns of the right) of the right rows whose worst name ratio is at least `least`; rows without any are left out.
+
+    Only the first row of each right form and of each left form goes on, so
+    rows that share their names aren't paired with each other.
+    """
+    rows, a = _forms(left.select(row, *names), names, "l_")
+    offers, b = _forms(right.select(*rank, *names), names, "r_")
+    firsts = offers.groupBy("r_form").agg(F.min(F.struct(*rank)).alias("of"))
+    best = similar_forms(a, b, names, least).join(unsent(firsts), "r_form").groupBy("l_form").agg(F.min("of").alias("of"))
+    return rows.join(unsent(best), "l_form").groupBy(row).agg(F.min("of").alias("of")).select(row, "of.*")

@@ -160,10 +160,9 @@ def j18(spark: SparkSession, d: str) -> DataFrame:
 def j19(spark: SparkSession, d: str) -> DataFrame:
     """For each fix the medium of its act and title (both ratios 0.8 or more) that has a link first, then the nearest tempo to 200, then the smallest id."""
     f = table(spark, d, "genre_song_fixes").select("fix_id", F.col("band").alias("artist"), "title").dropDuplicates(["fix_id"])
-    m = table(spark, d, "media_info").where("artist is not null").dropDuplicates(["media_id"])
-    hits = similarity.fuzzy_best(f, m.select("media_id", "artist", "title"), "fix_id", "media_id", ["artist", "title"], least=0.8, k=1 << 30)
-    rank = F.struct(F.col("video_url").isNull(), F.abs(F.coalesce("bpm", F.lit(0.0)) - 200), F.col("media_id"))
-    return hits.join(m.select("media_id", "video_url", "bpm"), "media_id").groupBy("fix_id").agg(F.min_by("media_id", rank).alias("media_id"))
+    m = table(spark, d, "media_info").where("artist is not null and media_id is not null").dropDuplicates(["media_id"])
+    m = m.select("media_id", "artist", "title", F.col("video_url").isNull().alias("unlinked"), F.abs(F.coalesce("bpm", F.lit(0.0)) - 200).alias("away"))
+    return similarity.fuzzy_first(f, m, "fix_id", ["artist", "title"], ["unlinked", "away", "media_id"], least=0.8).select("fix_id", "media_id")
 
 
 @query("k17_singers", """WITH l AS (SELECT vec_id, vec_id % 20 AS part, CASE vec_id % 7 WHEN 0 THEN 'P1' WHEN 1 THEN 'both' END AS mark, CASE WHEN vec_id % 5 = 0 THEN 'Ann' WHEN vec_id % 5 = 1 THEN 'Bo' END AS header, label % 2 AS voice FROM embeddings),

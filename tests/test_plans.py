@@ -3,7 +3,7 @@
 import random
 
 from cadenza.functions import similarity
-from cadenza.plans import kernels, relations
+from cadenza.plans import kernels, lyrics, relations
 
 
 def write(spark, folder, **tables):
@@ -87,3 +87,17 @@ def test_songs_of_a_hot_band_meet_by_title(spark, monkeypatch):
     got = {(r.id, r.other) for r in similarity.fuzzy_best(left, right, "id", "other", ["artist", "title"], least=0.8, k=1000).collect()}
     assert got == {*((i, i) for i in range(200)), *((i, 900) for i in range(200)), (900, 3), *((901, i) for i in range(200)), (901, 900)}
     assert seen.value < 5000
+
+
+def test_rows_that_share_their_names_are_not_paired(spark, tmp_path, monkeypatch):
+    """j19 and j4 score different names once, however many rows have them; each fix still gets its hit."""
+    seen = spark.sparkContext.accumulator(0)
+    ratio = similarity._at_least
+    monkeypatch.setattr(similarity, "_at_least", lambda least, x, y: ratio(least, x, y) + similarity.F.udf(lambda v: seen.add(1) or 0.0, "double")(y))
+    fixes = [*((i, "The One Band", "Paper Harbour") for i in range(60)), *((100 + i, "the one band", None) for i in range(3)), (200, None, "Other Song"), (300, "Nobody", "Nothing")]
+    media = [*((1000 - i, "The One Bnad", "Paper harbour!", 100.0 + i, None) for i in range(60)), (5, "Stone Lake", "Other Song", None, None), (6, "Stone Lake", "other song", 199.0, None), (7, "The One Band", "River", 0.0, "link"), (8, None, "Other Song", 200.0, "link")]
+    d = write(spark, tmp_path, genre_song_fixes=(fixes, "fix_id long, band string, title string"), media_info=(media, "media_id long, artist string, title string, bpm double, video_url string"))
+    assert {(r.fix_id, r.media_id) for r in lyrics.QUERIES["j19_cheapest_hit"](spark, d).collect()} == {*((i, 941) for i in range(60)), *((100 + i, 7) for i in range(3)), (200, 6)}
+    best = {(r.fix_id, r.media_id, r.place) for r in kernels.QUERIES["j4_fuzzy_best"](spark, d).collect()}
+    assert best == {*((i, 941 + n, n + 1) for i in range(60) for n in range(3)), *((100 + i, m, n + 1) for i in range(3) for n, m in enumerate((7, 941, 942))), (200, 5, 1), (200, 6, 2)}
+    assert seen.value < 100
